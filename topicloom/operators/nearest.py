@@ -101,7 +101,7 @@ def match_items(
         part = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         rows = part.select("item", "vector", "bias").orderBy("item").collect()  # one bounded block
         ids = np.array([r["item"] for r in rows], dtype=np.int64)
-        vectors = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        vectors = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), shape["d"] or 1)
         bias = np.array([np.nan if r["bias"] is None else r["bias"] for r in rows], dtype=np.float64)
         if metric == "cosine":
             keep = np.linalg.norm(vectors, axis=1) > 0

@@ -1,0 +1,90 @@
+"""End to end: query log to topics, outline and tagged rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from topicloom.functions.stopwords import ENGLISH
+from topicloom.operators.clean import clean_queries
+from topicloom.operators.encode import encode_texts
+from topicloom.operators.enrich import enrich_with_callable
+from topicloom.operators.outline import category_table, outline_table
+from topicloom.operators.rank import topics_markdown
+from topicloom.plans.tagging import add_categories
+from topicloom.plans.topics import score_topics
+from topicloom.runtime import materialize
+from topicloom.sources.discovery import rename_url_column
+
+
+@dataclass
+class Taxonomy:
+    """Categories (category_id, path, path_text), tagged rows, topics, prompt table."""
+
+    categories: DataFrame
+    tagged: DataFrame
+    topics: DataFrame
+    query_data: DataFrame
+
+
+def build_taxonomy(
+    queries: DataFrame,
+    outline: DataFrame | str | None = None,
+    write_outline: Callable[[str], str] | None = None,
+    kind: str = "provided",
+    ngram_range: tuple[int, int] = (1, 5),
+    min_df: int | float = 5,
+    brand_terms: Iterable[str] | None = None,
+    limit_queries_per_page: int | None = 5,
+    encoder: Callable | None = None,
+    cross_encoded: bool = False,
+    stop_words: Iterable[str] = ENGLISH,
+    **rescoring,
+) -> Taxonomy:
+    """Clean, score topics, read the outline, tag the rows.
+
+    ``queries`` has query and search_volume (``provided``; one column of page
+    addresses turns the per-page limit on) or query, page, clicks, impressions
+    (``performance``).  The outline is text, a table with column ``outline``,
+    or written by ``write_outline`` from the topics' markdown table.
+    """
+    limit = limit_queries_per_page
+    source = queries
+    if kind == "provided":
+        source, found = rename_url_column(queries)
+        limit = limit if found else None
+    cleaned = materialize(clean_queries(source, kind, brand_terms, limit), "clean")
+    topics = materialize(
+        score_topics(cleaned, ngram_range, min_df, stop_words=stop_words), "topics"
+    )
+    query_data = topics_markdown(topics)
+    spark = queries.sparkSession
+    if outline is None:
+        if write_outline is None:
+            raise ValueError("give outline or write_outline")
+        answered = materialize(
+            enrich_with_callable(query_data, write_outline, "markdown", "outline"), "outline"
+        )
+        if answered.where("outline is null").limit(1).count():
+            raise RuntimeError("write_outline gave no outline")
+        outline = answered.select("outline")
+    elif isinstance(outline, str):
+        outline = spark.createDataFrame([(outline,)], "outline string")
+    categories = category_table(outline_table(outline))
+    rows = cleaned if kind == "performance" else source.where(F.col("query").isNotNull())
+    texts = categories.select(F.col("path_text").alias("query")).unionByName(rows.select("query"))
+    vectors = materialize(
+        encode_texts(texts.distinct(), "query", encoder).select(
+            F.col("query").alias("text"), "embedding"
+        ),
+        "text-vectors",
+    )
+    placed = materialize(
+        categories.join(vectors.withColumnRenamed("text", "path_text"), "path_text"), "categories"
+    )
+    ready = rows.join(vectors.withColumnRenamed("text", "query"), "query", "left")
+    tagged = add_categories(ready, placed, cross_encoded=cross_encoded, **rescoring)
+    return Taxonomy(categories, tagged.drop("embedding"), topics, query_data)

@@ -1,0 +1,11 @@
+"""Streams.
+
+The row-wise operators (text and vector functions, cleaning without the
+per-page limit, nearest category against a static category table, path lookup
+by a stream-static join) hold no state, so a streaming DataFrame can be passed
+to them as is.  Nothing here needs a watermark or a state store.
+"""
+
+from topicloom.operators.nearest import assign_nearest
+
+__all__ = ["assign_nearest"]
