@@ -39,11 +39,13 @@ def read_queries(
     performance: DataFrame | None = None,
     days: int = 30,
     end_date: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Query log from a CSV path, a table, or exported daily performance rows.
 
     CSV columns stay text unless ``schema`` is given, so no extra pass infers
-    types; volumes are cast during cleaning.  For a property address pass the
+    types; volumes are cast during cleaning.  ``multi_line`` allows line breaks
+    inside quotes; such files are read by one task each.  For a property address pass the
     exported rows as ``performance`` (columns property, date, query, page,
     clicks, impressions).
     """
@@ -51,7 +53,7 @@ def read_queries(
     if kind == "table":
         return standardize_columns(source, text_col, volume_col)
     if kind == "file":
-        reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
         if schema is not None:
             reader = reader.schema(schema)
         return standardize_columns(reader.csv(source), text_col, volume_col)
