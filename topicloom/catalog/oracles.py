@@ -44,12 +44,19 @@ def _dedupe(text: str) -> str:
 
 def _grams(source: str, key: str, text: str, lo: int, hi: int, extra: str = "") -> str:
     """CTE body: one row per n-gram occurrence (key, feature)."""
-    sizes = ", ".join(str(n) for n in range(lo, hi + 1))
+    later = "".join(f", lead(w, {k}) OVER win AS w{k}" for k in range(1, hi))
+    parts = []
+    for n in range(lo, hi + 1):
+        joined = " || ' ' || ".join(["w"] + [f"w{k}" for k in range(1, n)])
+        full = f" WHERE w{n - 1} IS NOT NULL" if n > 1 else ""
+        parts.append(f"SELECT key, {extra} {joined} AS feature FROM placed_words{full}")
     return f"""
-      SELECT key, {extra} array_to_string(toks[i:i + k - 1], ' ') AS feature
-      FROM (SELECT {key} AS key, {extra} {_tokens(text)} AS toks FROM {source}) s,
-           unnest([{sizes}]) AS sizes(k),
-           unnest(range(1, CAST(len(toks) - k + 2 AS BIGINT))) AS starts(i)"""
+      WITH words AS (
+        SELECT key, {extra} unnest(toks) AS w, unnest(range(len(toks))) AS i
+        FROM (SELECT {key} AS key, {extra} {_tokens(text)} AS toks FROM {source}) s),
+      placed_words AS (
+        SELECT key, {extra} w{later} FROM words WINDOW win AS (PARTITION BY key ORDER BY i))
+      {" UNION ALL ".join(parts)}"""
 
 
 def _frequency(source: str, key: str, text: str, lo: int, hi: int, enough: str) -> str:

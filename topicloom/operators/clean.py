@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import NOT_ALNUM_OR_SPACE, remove_terms, strip_spaces
+from topicloom.runtime import compute_and_keep
 
 MIN_QUERY_CHARS = 3
 
@@ -58,23 +59,24 @@ def clean_queries(
     def stripped(c: Column) -> Column:
         return strip_spaces(F.regexp_replace(c, NOT_ALNUM_OR_SPACE, "") if strip else c)
 
+    def long_enough(c: Column) -> Column:
+        return F.length(c) >= MIN_QUERY_CHARS
+
     if kind == "provided":
         columns = ["query", *(["page"] if "page" in df.columns else []), "search_volume"]
-        out = (
+        base = (
             df.select(*columns)
             .where(query.isNotNull())
             .withColumn("original_query", query)
-            .withColumn("query", stripped(remove_terms(query, brand_terms, phrases)))
-            .where(F.length("query") >= MIN_QUERY_CHARS)
             .withColumn("search_volume", integer_volume(F.col("search_volume")))
         )
+        cleaned = stripped(remove_terms(query, brand_terms, phrases))
+        out = compute_and_keep(base, "query", cleaned, long_enough)
         order = [F.desc("search_volume")]
     elif kind == "performance":
+        base = df.where(query.isNotNull()).withColumn("original_query", query)
         out = (
-            df.where(query.isNotNull())
-            .withColumn("original_query", query)
-            .withColumn("query", stripped(F.lower(query)))
-            .where(F.length("query") >= MIN_QUERY_CHARS)
+            compute_and_keep(base, "query", stripped(F.lower(query)), long_enough)
             .withColumnRenamed("impressions", "search_volume")
             .withColumn("query", remove_terms(F.col("query"), brand_terms, phrases))
         )

@@ -31,7 +31,12 @@ def scored_topics(
         ngram_frequency(queries, query_col, ngram_range, min_df, stop_words), "counts"
     )
     merged = materialize(merge_ngrams(counts), "merged")
-    volumes = materialize(ngram_volume(merged, queries, query_col, volume_col), "volumes")
+    words = counts.where(~F.contains("feature", F.lit(" "))).select(
+        F.col("feature").alias("word"), F.col("frequency").alias("n")
+    )
+    volumes = materialize(
+        ngram_volume(merged, queries, query_col, volume_col, frequency=words), "volumes"
+    )
     return (
         max_scale(volumes, "search_volume")
         .withColumn("score", row_mean("search_volume", "merged_frequency"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def compute_and_keep(
+    df: DataFrame, name: str, value: Column, keep: Callable[[Column], Column]
+) -> DataFrame:
+    """Set column ``name`` to ``value`` and keep the rows that pass ``keep``.
+
+    A plain filter on a computed column is pushed below the projection and
+    computes the value twice; a generator computes it once.
+    """
+    passed = F.explode_outer(F.filter(F.array(value), keep))
+    return df.withColumn(name, passed).where(F.col(name).isNotNull())
