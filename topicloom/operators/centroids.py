@@ -53,12 +53,13 @@ def silhouette_rows(
     n = F.col("_size")
     to_own = F.col("_sq") - 2 * dot(vec, F.col("_mean")) + F.col("_q")
     a = F.greatest(F.try_divide(to_own * n, n - 1), F.lit(0.0))
-    b = F.greatest(F.get(other, F.lit(0))["score"], F.lit(0.0))
+    nearest = F.get(other, F.lit(0))["score"]
+    b = F.greatest(nearest, F.lit(0.0))
     value = F.when(n == 1, F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
     )
     return near.join(own, label_col).select(
-        *df.columns, F.when(b.isNotNull(), value).alias("silhouette")
+        *df.columns, F.when(nearest.isNotNull(), value).alias("silhouette")
     )
 
 

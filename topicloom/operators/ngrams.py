@@ -10,26 +10,19 @@ from pyspark.sql import functions as F
 from topicloom.functions.stopwords import ENGLISH
 from topicloom.functions.text import distinct_words, let, ngrams, tokenize, word_count
 from topicloom.operators.scoring import max_scale
-from topicloom.runtime import total
+from topicloom.runtime import materialize, total
 
 MIN_FEATURE_CHARS = 3
 
 
-def count_ngrams(
-    df: DataFrame,
-    text_col: str = "query",
-    ngram_range: tuple[int, int] = (1, 5),
-    stop_words: Iterable[str] = ENGLISH,
-    by: tuple[str, ...] = (),
-) -> DataFrame:
-    """Occurrences and document frequency per n-gram (and per ``by`` columns).
+#: Bounds on the bitmaps of frequent n-grams, in bits (two megabytes at most).
+MIN_BITS = 1 << 16
+MAX_BITS = 1 << 24
+BITS_PER_FEATURE = 16
 
-    Each row's n-grams are sorted inside the row and the first of every run of
-    equal ones is flagged, so one partially aggregated shuffle gives both
-    numbers, with no (document, n-gram) shuffle before it.
-    """
-    lo, hi = ngram_range
-    runs = F.sort_array(ngrams(tokenize(F.col(text_col), stop_words), lo, hi))
+
+def _flagged(grams: Column) -> Column:
+    """Sorted array of (feature, first): first is 1 once per distinct n-gram."""
 
     def flag(g: Column) -> Column:
         return F.transform(
@@ -40,36 +33,159 @@ def count_ngrams(
             ),
         )
 
+    return let(F.sort_array(grams), flag)
+
+
+def _counted(df: DataFrame, grams: Column, by: tuple[str, ...] = ()) -> DataFrame:
     # the outer form: the plain one adds a filter that computes the array twice
     return (
-        df.select(*by, F.inline_outer(let(runs, flag)))
+        df.select(*by, F.inline_outer(_flagged(grams)))
         .where(F.col("feature").isNotNull())
         .groupBy(*by, "feature")
         .agg(F.count(F.lit(1)).alias("frequency"), F.sum("first").alias("doc_frequency"))
     )
 
 
+def count_ngrams(
+    df: DataFrame,
+    text_col: str = "query",
+    ngram_range: tuple[int, int] = (1, 5),
+    stop_words: Iterable[str] = ENGLISH,
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """Occurrences and document frequency per n-gram (and per ``by`` columns).
+
+    Each row's n-grams are sorted inside the row and the first of every run of
+    equal ones is flagged, so one partially aggregated shuffle gives both
+    numbers, with no (document, n-gram) shuffle before it.
+    """
+    lo, hi = ngram_range
+    return _counted(df, ngrams(tokenize(F.col(text_col), stop_words), lo, hi), by)
+
+
+class _Bitmap:
+    """Hashed set of frequent n-grams, a constant array of at most MAX_BITS bits.
+
+    A subquery may not stand inside a lambda, so the words of the bitmap come
+    to the driver (their number is bounded) and go out as one literal.
+    """
+
+    def __init__(self, features: DataFrame):
+        wanted = features.count() * BITS_PER_FEATURE
+        self.bits = min(MAX_BITS, max(MIN_BITS, 1 << max(wanted - 1, 1).bit_length()))
+        slot = F.pmod(F.xxhash64("feature"), F.lit(self.bits))
+        words = (
+            features.select(F.shiftright(slot, 6).alias("i"), F.pmod(slot, F.lit(64)).cast("int").alias("b"))
+            .groupBy("i")
+            .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("w"))
+        )
+        filled = [0] * (self.bits // 64)
+        for row in words.collect():  # at most bits / 64 rows
+            filled[row["i"]] = row["w"]
+        self.words = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")
+
+    def holds(self, gram: Column) -> Column:
+        slot = F.pmod(F.xxhash64(gram), F.lit(self.bits))
+        word = F.get(self.words, F.shiftright(slot, 6).cast("int"))
+        return F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+
+def frequent_ngrams(
+    df: DataFrame, text_col: str, ngram_range: tuple[int, int], min_docs: Column,
+    stop_words: Iterable[str],
+) -> DataFrame:
+    """``count_ngrams`` limited to those in at least ``min_docs`` documents, level by level.
+
+    Every part of a frequent n-gram is frequent.  Words are counted first, then
+    pairs of frequent words, then longer runs of frequent pairs, so rare
+    n-grams, most of all there are, never reach a shuffle.  The frequent ones
+    of a level are passed on as a fixed-size bitmap; a false hit in it only
+    costs a count that the exact filter drops.
+    """
+    lo, hi = ngram_range
+    tokens = tokenize(F.col(text_col), stop_words)
+    enough = F.col("doc_frequency") >= min_docs
+
+    def level(grams: Column, label: str) -> DataFrame:
+        return materialize(_counted(df, grams).where(enough), label)
+
+    found = [level(ngrams(tokens, 1, 1), "words")]
+    words = _Bitmap(found[0])
+    common = F.transform(tokens, lambda t: F.when(words.holds(t), t))
+    if hi >= 2:
+        found.append(level(let(common, lambda t: F.array_compact(_runs(t, 2))), "pairs"))
+    if hi >= 3:
+        pairs = _Bitmap(found[1])
+
+        def longer(t: Column) -> Column:
+            kept = F.transform(_runs(t, 2), lambda p: F.when(pairs.holds(p), p))
+            return let(kept, lambda p: F.concat(*[joined(t, p, n) for n in range(3, hi + 1)]))
+
+        def joined(t: Column, p: Column, n: int) -> Column:
+            """Runs of n words: their first pair, then words, all pairs frequent."""
+
+            def run(i: Column) -> Column:
+                whole = F.concat_ws(" ", F.get(p, i), *[F.get(t, i + k) for k in range(2, n)])
+                good = F.get(p, i).isNotNull()
+                for k in range(1, n - 1):
+                    good = good & F.get(p, i + k).isNotNull()
+                return F.when(good, whole)
+
+            starts = F.sequence(F.lit(0), F.size(t) - n)
+            none = F.array().cast("array<string>")
+            return F.when(F.size(t) >= n, F.array_compact(F.transform(starts, run))).otherwise(none)
+
+        found.append(level(let(common, longer), "longer"))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    if lo > 1:
+        out = out.where(word_count(F.col("feature")) >= lo)
+    return out
+
+
+def _runs(t: Column, n: int) -> Column:
+    """Runs of n tokens; null where one of them is null."""
+    none = F.array().cast("array<string>")
+    starts = F.sequence(F.lit(0), F.size(t) - n)
+
+    def run(i: Column) -> Column:
+        pieces = [F.get(t, i)]
+        for k in range(1, n):
+            pieces += [F.lit(" "), F.get(t, i + k)]
+        return F.concat(*pieces)
+
+    return F.when(F.size(t) >= n, F.transform(starts, run)).otherwise(none)
+
+
 def ngram_frequency(
     df: DataFrame,
     text_col: str = "query",
     ngram_range: tuple[int, int] = (1, 5),
     min_df: int | float = 5,
     stop_words: Iterable[str] = ENGLISH,
+    by_level: bool = True,
 ) -> DataFrame:
     """N-gram counts: feature, frequency.
 
     ``min_df`` is a number of documents, or a share of them when a float.
     Features shorter than three characters are dropped, and features that
-    repeat a word are folded into the feature without the repeat.
+    repeat a word are folded into the feature without the repeat.  ``by_level``
+    prunes rare n-grams before they are shuffled, for one more pass over the
+    texts per level.
     """
-    counts = count_ngrams(df, text_col, ngram_range, stop_words)
     if isinstance(min_df, float):
         docs = total(df, F.count(F.col(text_col)).cast("double"))
-        enough = F.col("doc_frequency") >= F.lit(min_df) * docs
+        min_docs = F.lit(min_df) * docs
+    else:
+        min_docs = F.lit(min_df)
+    if by_level and ngram_range[1] > 1 and min_df > (0.0 if isinstance(min_df, float) else 1):
+        kept = frequent_ngrams(df, text_col, ngram_range, min_docs, stop_words)
     else:
-        enough = F.col("doc_frequency") >= min_df
+        counts = count_ngrams(df, text_col, ngram_range, stop_words)
+        kept = counts.where(F.col("doc_frequency") >= min_docs)
     return (
-        counts.where(enough & (F.length("feature") >= MIN_FEATURE_CHARS))
+        kept.where(F.length("feature") >= MIN_FEATURE_CHARS)
         .groupBy(distinct_words(F.col("feature")).alias("feature"))
         .agg(F.sum("frequency").alias("frequency"))
     )
