@@ -16,15 +16,18 @@ from topicloom.runtime import materialize
 
 HOT_NODES = 1000
 
+#: Below this many links the busiest node fits one task anyway.
+HOT_FROM = 5_000_000
 
-def _with_minimum(links: DataFrame) -> DataFrame:
+
+def _with_minimum(links: DataFrame, size: int) -> DataFrame:
     """links (u, v) plus m = min(u, its v's)."""
-    low = materialize(
-        links.groupBy("u").agg(
-            F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree")
-        ),
-        "minima",
+    low = links.groupBy("u").agg(
+        F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree")
     )
+    if size < HOT_FROM:
+        return links.join(low.select("u", "m"), "u")
+    low = materialize(low, "minima")
     many = low.select((F.sum("degree") / HOT_NODES).alias("v")).scalar()
     hot = low.where(F.col("degree") > F.greatest(many, F.lit(1000.0))).select("u", F.col("m").alias("_hot"))
     marked = links.join(F.broadcast(hot), "u", "left")
@@ -36,15 +39,16 @@ def _with_minimum(links: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (its smallest node) for every node that has an edge."""
     pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
-    pairs = materialize(pairs.where("u <> v").distinct(), "edges")
-    current = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    ordered = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    current = materialize(ordered.where("u <> v").distinct(), "edges")
+    size = current.count()
     signature = None
-    while True:
+    while size:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_minimum(both, 2 * size).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _with_minimum(down)
+        small = _with_minimum(down, size)
         moved = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         anchored = small.select("u", F.col("m").alias("v"))
         current = materialize(
@@ -57,6 +61,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if signature == (row["n"], row["h"]):
             break
         signature = (row["n"], row["h"])
+        size = row["n"]
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -139,29 +139,36 @@ def knee_points(
 ) -> DataFrame:
     """Knee per sensitivity: s, knee (rank) and score there; null where there is none."""
     order = order or [F.desc(score_col), F.asc(tie_col)]
-    s_values = list(dict.fromkeys(float(s) for s in s_values))
+    s_values = sorted({float(s) for s in s_values})
     states = _walk_states(_difference_curve(df, score_col, order))
     since_min = F.coalesce(F.col("minimum") >= F.col("maximum.rank"), F.lit(False))
-    found = []
-    for s in s_values:
-        limit = F.when(since_min, F.lit(0.0)).otherwise(
-            F.col("maximum.d") - F.lit(s) * F.col("step")
-        )
-        fires = F.col("maximum").isNotNull() & (F.col("next") < limit)
-        first = F.min(
-            F.when(
-                fires,
-                F.struct(
-                    F.col("rank"),
-                    F.col("maximum.rank").alias("knee"),
-                    F.col("maximum.score").alias("score"),
-                ),
-            )
-        )
-        found.append(
-            F.struct(F.lit(s).alias("s"), first["knee"].alias("knee"), first["score"].alias("score"))
-        )
-    return states.agg(F.array(*found).alias("k")).select(F.inline("k"))
+    sensitivities = F.array(*[F.lit(s) for s in s_values])
+
+    def fires(s: Column) -> Column:
+        limit = F.col("maximum.d") - s * F.col("step")
+        return F.col("next") < F.when(since_min, F.lit(0.0)).otherwise(limit)
+
+    # a row that fires for s fires for every smaller one, so a count says which
+    firing = F.size(F.filter(sensitivities, fires))
+    first = F.min(
+        F.struct("rank", F.col("maximum.rank").alias("knee"), F.col("maximum.score").alias("score"))
+    )
+    by_count = (
+        states.where(F.col("maximum").isNotNull() & F.col("next").isNotNull())
+        .withColumn("_firing", firing)
+        .where("_firing > 0")
+        .groupBy("_firing")
+        .agg(first.alias("first"))
+    )  # at most one row per sensitivity
+
+    def answer(s: Column, i: Column) -> Column:
+        enough = F.filter(F.col("_all"), lambda r: r["_firing"] > i)
+        best = F.array_min(F.transform(enough, lambda r: r["first"]))
+        return F.struct(s.alias("s"), best["knee"].alias("knee"), best["score"].alias("score"))
+
+    return by_count.agg(F.collect_list(F.struct("_firing", "first")).alias("_all")).select(
+        F.inline(F.transform(sensitivities, answer))
+    )
 
 
 def knee_filter(
