@@ -149,14 +149,14 @@ def knee_points(
         return F.col("next") < F.when(since_min, F.lit(0.0)).otherwise(limit)
 
     # a row that fires for s fires for every smaller one, so a count says which
+    # and none that does not fire for the smallest needs to be looked at
     firing = F.size(F.filter(sensitivities, fires))
     first = F.min(
         F.struct("rank", F.col("maximum.rank").alias("knee"), F.col("maximum.score").alias("score"))
     )
     by_count = (
-        states.where(F.col("maximum").isNotNull() & F.col("next").isNotNull())
+        states.where(fires(F.lit(s_values[0])))
         .withColumn("_firing", firing)
-        .where("_firing > 0")
         .groupBy("_firing")
         .agg(first.alias("first"))
     )  # at most one row per sensitivity
