@@ -25,11 +25,13 @@ def lookup_code(df: DataFrame, name_col: str, dim: DataFrame, contains: bool = F
 
     ``dim`` has position (file order), name (lower case) and code.  Containment
     is an equi-join too: every substring of every dimension name is listed once
-    with the code of the first row that holds it.  Only the distinct names that
-    have no exact hit look there.
+    with the code of the first row that holds it.  Both lookups are written
+    first, so Spark sees their true size and broadcasts them when small.
     """
     key = F.lower(F.col(name_col))
-    exact = dim.groupBy("name").agg(F.min_by("code", "position").alias("_exact"))
+    exact = materialize(
+        dim.groupBy("name").agg(F.min_by("code", "position").alias("_exact")), "names"
+    )
     out = df.withColumn("_key", key).join(exact.withColumnRenamed("name", "_key"), "_key", "left")
     if not contains:
         return out.withColumn("code", F.col("_exact")).drop("_key", "_exact")
