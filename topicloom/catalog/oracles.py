@@ -521,6 +521,10 @@ links AS (SELECT id AS a, neighbor AS b FROM dist WHERE d <= 1.05),
 named AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS label FROM groups GROUP BY g)
 SELECT id, label FROM groups JOIN named USING (g)"""
 
+ORACLES["encode_with_user_model"] = """
+SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars,
+       CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e_count FROM documents"""
+
 # --- class terms, cluster names -----------------------------------------------------------------
 
 

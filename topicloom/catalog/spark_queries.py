@@ -621,6 +621,21 @@ def encode(t: Tables) -> DataFrame:
                         V.norm(F.col("embedding")).alias("length"))
 
 
+def _shape_encoder():
+    """A stand-in for a user's model: text length and number of e's."""
+    import numpy as np
+
+    return lambda texts: np.array([[len(x), x.count("e")] for x in texts], dtype=np.float32)
+
+
+@query
+def encode_with_user_model(t: Tables) -> DataFrame:
+    docs = t.documents().select("doc_id", F.col("text").alias("query"))
+    coded = encode_texts(docs, "query", _shape_encoder)
+    return coded.select("doc_id", F.get("embedding", F.lit(0)).alias("chars"),
+                        F.get("embedding", F.lit(1)).alias("e_count"))
+
+
 # --- class terms, cluster names ------------------------------------------------------------
 
 
