@@ -220,6 +220,12 @@ QUALIFY row_number() OVER (
 ORACLES["remove_terms"] = f"""
 SELECT conv_id, turn, {_without("text", _BRAND_LIST)} AS query FROM conversations"""
 
+_PHRASE = r"(?i)(^|\s)of the(?:\s|$)"
+ORACLES["remove_terms_phrases"] = rf"""
+SELECT conv_id, turn,
+       regexp_replace(regexp_replace(text, '{_PHRASE}', '\1', 'g'), '{_PHRASE}', '\1', 'g') AS query
+FROM conversations"""
+
 ORACLES["integer_volume"] = r"""
 SELECT event_id, CAST(trunc(value) AS BIGINT) AS volume,
        coalesce(CAST(regexp_extract(props, '"k": (\d+)', 1) AS BIGINT), 0) AS from_text,
@@ -413,8 +419,8 @@ SELECT item1, item2 FROM a, b WHERE item1 <> item2"""
 # --- vectors ----------------------------------------------------------------------------------
 
 ORACLES["l2_normalize"] = f"""
-WITH {_CENTERS}, len AS (SELECT id, sqrt(sum(CAST(x * 3 AS DOUBLE) * CAST(x * 3 AS DOUBLE))) AS l FROM cells GROUP BY id)
-SELECT id, pos AS position, round(CAST(x * 3 AS DOUBLE) / l, 6) AS value FROM cells JOIN len USING (id)"""
+WITH {_CENTERS}, len AS (SELECT id, sqrt(sum(CAST(x AS DOUBLE) * 3 * CAST(x AS DOUBLE) * 3)) AS l FROM cells GROUP BY id)
+SELECT id, pos AS position, round(CAST(x AS DOUBLE) * 3 / l, 6) AS value FROM cells JOIN len USING (id)"""
 
 ORACLES["cosine_to_label"] = f"""
 WITH {_CENTERS}
@@ -447,7 +453,7 @@ near AS (SELECT id, neighbor, d, row_number() OVER (
 
 ORACLES["knn"] = f"""
 WITH {_CENTERS}, {_NEIGHBORS}
-SELECT id, neighbor, position, round(d, 6) AS distance FROM near WHERE position <= 4"""
+SELECT id, neighbor, position, CAST(round(d * 1e7) AS BIGINT) AS distance_e7 FROM near WHERE position <= 4"""
 
 _CURVE = """
 sorted AS (SELECT d, row_number() OVER (PARTITION BY position ORDER BY d) AS rank FROM near WHERE position <= {k}),
@@ -455,7 +461,7 @@ curve0 AS (SELECT rank, avg(d) AS distance FROM sorted GROUP BY rank)"""
 
 ORACLES["knn_curve"] = f"""
 WITH {_CENTERS}, {_NEIGHBORS}, {_CURVE.format(k=4)}
-SELECT rank, round(distance, 6) AS distance FROM curve0"""
+SELECT rank, CAST(round(distance * 4e7) AS BIGINT) AS distance_4e7 FROM curve0"""
 
 ORACLES["epsilon"] = f"""
 WITH {_CENTERS}, {_NEIGHBORS}, {_CURVE.format(k=3)},

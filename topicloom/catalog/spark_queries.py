@@ -500,7 +500,7 @@ def cross_pairs(t: Tables) -> DataFrame:
 
 @query
 def l2_normalize(t: Tables) -> DataFrame:
-    doubled = F.transform("embedding", lambda x: x * 3)
+    doubled = F.transform("embedding", lambda x: x.cast("double") * 3)
     return t.vectors().select(
         "id", F.posexplode(V.l2_normalize(doubled)).alias("position", "value")
     )
@@ -536,12 +536,16 @@ def label_centroids(t: Tables) -> DataFrame:
 
 @query
 def knn(t: Tables) -> DataFrame:
-    return knn_graph(t.vectors(), 4)
+    near = knn_graph(t.vectors(), 4)  # distances have seven decimals
+    return near.select(
+        "id", "neighbor", "position", F.round(F.col("distance") * 1e7).cast("long").alias("distance_e7")
+    )
 
 
 @query
 def knn_curve(t: Tables) -> DataFrame:
-    return knn_distance_curve(knn_graph(t.vectors(), 4), 4)
+    curve = knn_distance_curve(knn_graph(t.vectors(), 4), 4)  # means of four such distances
+    return curve.select("rank", F.round(F.col("distance") * 4e7).cast("long").alias("distance_4e7"))
 
 
 @query
