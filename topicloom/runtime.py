@@ -1,9 +1,10 @@
 """Session helpers: scratch tables, size checks, one-row lookups.
 
 Scratch tables live under the folder the session names in
-``spark.checkpoint.dir``.  Only a local session without that setting gets a
-temporary folder of its own; on a cluster a machine-local folder would not be
-seen by the executors, so there the setting is required.
+``spark.checkpoint.dir``.  Only a one-process session (``local`` or
+``local[n]``) without that setting gets a temporary folder of its own; with
+separate executors a machine-local folder would not be seen by all of them, so
+there the setting is required.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder every executor can reach"
         )
