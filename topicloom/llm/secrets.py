@@ -13,9 +13,10 @@ spans.  Every row gives one result, also with a null or repeated id.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -119,13 +120,14 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], float]:
     top = 0.0
     if any(w in low for w in CONTEXT_WORDS):
         base = sorted(found)
+        starts, ends = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".!?)]}")
             start, end = m.start(1), m.start(1) + len(value)
             if len(value) < MIN_LENGTH or _classes(value) < 2 or value[:1].isupper() and value[1:].islower():
                 continue
-            if any(s <= start and end <= e for s, _, e in base):
-                continue
+            if ends[bisect_right(starts, start)] >= end:
+                continue  # a base span has it
             cost = guess_cost(value)
             if cost >= MIN_GUESSES:
                 found.append((start, 3, end))
@@ -133,10 +135,6 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], float]:
     return sorted(found), top
 
 
-def _joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-
-
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and, per row: spans array<struct<kind,start,end>>, guess_log10 (highest of the added)."""
 
