@@ -39,7 +39,7 @@ BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody thead tfoot tr ul".split()
 )
-CONTAINER = set("body article main section div td".split())
+CONTAINER = set("body article main section div".split())
 CLOSES_P = BLOCK - {"html", "body", "tr", "tbody", "thead", "tfoot"}
 # An opening tag closes an open element of these, up to a border.
 CLOSES = {
