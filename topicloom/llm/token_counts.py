@@ -12,8 +12,8 @@ contractions, letters, single digits and other runs; bytes as symbols; an end
 mark on a word's last symbol.  Added special tokens found in a text count one
 each.  Other forms are refused.
 
-Counts of chunks between white space are kept in a bounded cache per Python
-worker; emptying it changes nothing but the time.
+Counts of chunks between white space, and of the pre-tokens in them, are kept in
+bounded caches per Python worker; emptying them changes nothing but the time.
 
 Null text counts as empty: 0 tokens.  Rows with null or repeated ids are
 counted as any other, one result per row.  Other columns are not read.
@@ -31,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache, and the longest chunk kept in it.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's caches (chunks, pre-tokens), and the longest string kept in them.
+CACHE_ENTRIES, WORD_ENTRIES = 300_000, 800_000
 CACHED_CHARS = 48
 
 # The pre-token pattern of the vocabulary file, without white space.
@@ -67,6 +67,7 @@ class Counter(dict):
         self.find_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.symbols = byte_symbols()
         self.pieces = regex.compile(PIECES)
+        self.words: dict[str, int] = {}
 
     def merged(self, word: str) -> int:
         """Tokens of one pre-token."""
@@ -94,10 +95,21 @@ class Counter(dict):
                 heapq.heappush(heap, (rank[pair], h, *pair))
         return count
 
+    def piece(self, word: str) -> int:
+        """Tokens of one pre-token, from the cache if it is there."""
+        count = self.words.get(word)
+        if count is None:
+            count = self.merged(word)
+            if len(word) <= CACHED_CHARS:
+                if len(self.words) >= WORD_ENTRIES:
+                    self.words.clear()
+                self.words[word] = count
+        return count
+
     def __missing__(self, chunk: str) -> int:
         plain = unicodedata.normalize("NFC", chunk)
         plain = "".join(c.lower() for c in plain) if "Σ" in plain else plain.lower()
-        count = sum(map(self.merged, self.pieces.findall(plain)))
+        count = sum(map(self.piece, self.pieces.findall(plain)))
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
