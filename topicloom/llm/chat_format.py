@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import null_key
+from topicloom.runtime import materialize
 
 BUDGET = 1024
 HISTORY = 192
@@ -58,7 +59,7 @@ def count_tokens(text: Column) -> Column:
 
 
 def numbered_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, tokens: Column | None) -> DataFrame:
-    """key, conv, idx, role, text, tokens and before (tokens of all earlier turns)."""
+    """key, conv, idx, role, text, tokens, before (tokens of all earlier turns) and lead (tokens of a leading system turn)."""
     text = F.coalesce(text_col, F.lit(""))
     plain = turns.select(
         null_key(conv_col).alias("key"),
@@ -70,9 +71,14 @@ def numbered_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str
         F.coalesce(F.floor(F.col(turn_col) / BLOCK_TURNS), F.lit(-(1 << 60))).alias("block"),
     )
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = plain.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all"))
+    blocks = plain.groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all"), F.min(F.struct("turn", "role", "text", "tokens")).alias("lead"))
+    lead = F.first("lead").over(Window.partitionBy("key").orderBy("block"))
     blocks = blocks.select(
-        "key", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"), F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("sum")
+        "key",
+        "block",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"),
+        F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("sum"),
+        F.when(lead["role"] == "system", lead["tokens"]).otherwise(F.lit(0)).alias("lead"),
     )
     own = Window.partitionBy("key", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     here = plain.withColumn("at", F.row_number().over(own) - 1).withColumn(
@@ -80,7 +86,7 @@ def numbered_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str
     )
     joined = here.join(blocks, ["key", "block"])
     return joined.select(
-        "key", "conv", (F.col("first") + F.col("at")).alias("idx"), "role", "text", "tokens", (F.col("sum") + F.col("upto") - F.col("tokens")).alias("before")
+        "key", "conv", (F.col("first") + F.col("at")).alias("idx"), "role", "text", "tokens", (F.col("sum") + F.col("upto") - F.col("tokens")).alias("before"), "lead"
     )
 
 
@@ -97,14 +103,14 @@ def chat_windows(
         raise ValueError("the budget must be larger than the history, which is at least 1")
     numbered = numbered_turns(turns, conv_col, turn_col, role_col, text_col, tokens)
     leads = (F.col("idx") == 0) & (F.col("role") == "system")
-    system = numbered.where(leads).select("key", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
-    led = numbered.join(system.select("key", "s_tokens"), "key", "left")
-    start = F.when(leads, F.lit(0)).otherwise(F.col("before") - F.coalesce("s_tokens", F.lit(0)))
+    start = F.when(leads, F.lit(0)).otherwise(F.col("before") - F.col("lead"))
     size = F.when(leads, F.lit(0)).otherwise(F.col("tokens"))
-    led = led.withColumn("capacity", F.greatest(budget - history - F.coalesce("s_tokens", F.lit(0)), F.lit(1)))
+    led = numbered.withColumn("capacity", F.greatest(budget - history - F.col("lead"), F.lit(1)))
     led = led.withColumn("start", start).withColumn("stretch", F.floor(start / F.col("capacity")))
     over = F.col("start") + size > (F.col("stretch") + 1) * F.col("capacity")
     own = led.select("key", "conv", "idx", "role", "text", "tokens", "start", (2 * F.col("stretch") + over.cast("long")).alias("window"))
+    own = materialize(own, "turns")
+    system = own.where(leads).select("key", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
 
     spans = own.groupBy("key", "conv", "window").agg(F.min("start").alias("from"), F.min("idx").alias("first"))
     later = spans.where("first > 0")
