@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from topicloom.llm.common import pack
+from topicloom.llm.common import null_key, pack
 from topicloom.operators.components import connected_components
 from topicloom.runtime import materialize
 
@@ -179,13 +179,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the one with the smallest id, any one of equal rows."""
-    rows = pack(docs, id=F.col(id_col), fp=fingerprint_of(text_col), uid=F.monotonically_increasing_id())
-    rows = materialize(rows, "fingerprinted")
-    keys = rows.select("id", "fp", "uid")
+    """One row of each component: the one with the smallest id, any one of rows with equal id and text.
+
+    Whole rows are shuffled once, to meet the kept keys; those grow with the
+    table and are not broadcast at any size.
+    """
+    text_hash = F.xxhash64(text_col)
+    keys = docs.select(F.col(id_col).alias("id"), fingerprint_of(text_col).alias("fp"), text_hash.alias("hash"))
+    keys = materialize(keys, "fingerprinted")
     groups = near_groups(keys, "id", "fp")
-    best = F.min(F.struct(F.isnull("id").alias("none"), "id", "uid")).alias("best")
-    prints = keys.groupBy("fp").agg(best)
-    kept = prints.join(groups, "fp").groupBy("component").agg(F.min("best").alias("best"))
-    kept = materialize(kept.select("best.uid"), "kept")
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    best = F.min(F.struct(F.isnull("id").alias("none"), "id", "hash")).alias("best")
+    kept = keys.groupBy("fp").agg(best).join(groups, "fp").groupBy("component").agg(F.min("best").alias("best"))
+    kept = materialize(kept.select("best.id", "best.hash"), "kept").select(null_key("id").alias("key"), "hash")
+    rows = pack(docs, key=null_key(id_col), hash=text_hash).join(kept.hint("merge"), ["key", "hash"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("key", "hash").orderBy("hash"))
+    return rows.withColumn("at", first).where("at = 1").select("row.*")
