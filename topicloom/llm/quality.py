@@ -210,15 +210,16 @@ def train(
     sample = each.orderBy(F.xxhash64("_id"), "_id").limit(max_train_rows)
     known = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"), _meta(meta_cols).alias("_meta"))
 
-    @F.pandas_udf("index array<int>, value array<float>, stats array<double>")
+    @F.pandas_udf("index binary, value binary, stats array<double>")
     def entries(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([word_entries(t) for t in texts], columns=["index", "value", "stats"])
+        got = ((index.tobytes(), value.tobytes(), stats) for index, value, stats in map(word_entries, texts))
+        return pd.DataFrame(got, columns=["index", "value", "stats"])
 
     found = known.join(F.broadcast(sample), "_id").select(
         "_id", "_label", "_meta", F.crc32(F.col("_text").cast("binary")).alias("_crc"), entries("_text").alias("e")
     )
     rows = found.orderBy(F.xxhash64("_id"), "_id", "_crc", "_meta").limit(max_train_rows).collect()
-    vectors = [(np.array(r.e["index"], np.int64), np.array(r.e["value"], np.float32), r.e["stats"], r["_meta"]) for r in rows]
+    vectors = [(np.frombuffer(r.e["index"], np.int32), np.frombuffer(r.e["value"], np.float32), r.e["stats"], r["_meta"]) for r in rows]
     return fit(vectors, np.array([float(r["_label"]) for r in rows]), len(meta_cols))
 
 
