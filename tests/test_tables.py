@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.operators.clean import integer_volume
 from topicloom.operators.clean import clean_queries, top_n_per_group
 from topicloom.operators.containment import containment_join, ngram_volume
 from topicloom.operators.ctfidf import class_tfidf
@@ -202,3 +203,22 @@ def test_row_operators_take_a_stream(spark, tmp_path):
     out.processAllAvailable()
     out.stop()
     assert [r["query"] for r in spark.table("cleaned").collect()] == ["The Pool chairs"]
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(10,2)", "string", "int"])
+def test_volumes_do_not_depend_on_the_plan(spark, kind):
+    """Null, NaN and text that is no number count as 0, whether the n-grams are broadcast or shuffled."""
+    rows = [("red chair", "1.5"), ("chair red lamp", "2"), ("red", None), ("lamp", "NaN"), (None, "4"), ("chair", "x")]
+    queries = spark.createDataFrame(rows, "query string, v string")
+    queries = queries.select("query", F.col("v").try_cast(kind).alias("search_volume"))
+    features = spark.createDataFrame([("red chair",), ("lamp",), ("red",), ("none",)], "feature string")
+    plans = [ngram_volume(features, queries, broadcast_bytes=b) for b in (1 << 26, -1)]
+    assert plans[0].schema == plans[1].schema
+    got = [{r["feature"]: r["search_volume"] for r in p.collect()} for p in plans]
+    first = 0 if kind == "int" else 1.5
+    assert got[0] == got[1] == {"red chair": 2 + first, "lamp": 2, "red": 2 + first, "none": 0}
+
+
+def test_large_volumes_do_not_stop_a_job(spark):
+    df = spark.createDataFrame([("1e20",), ("Infinity",), ("7.9",), (None,), ("x",)], "v string")
+    assert [r[0] for r in df.select(integer_volume(F.col("v"))).collect()] == [0, 0, 7, 0, 0]

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from topicloom.operators.centroids import assign_outliers, silhouette_rows
 from topicloom.operators.cluster import (
-    density_cluster, estimate_epsilon, hierarchical_cluster, recluster_outliers, reduce_vectors,
+    default_min_samples, density_cluster, estimate_epsilon, hierarchical_cluster, recluster_outliers, reduce_vectors,
+    ward_merges,
 )
 from topicloom.operators.components import connected_components
 from topicloom.operators.encode import encode_texts
@@ -13,7 +14,7 @@ from topicloom.operators.knn import knn_graph
 from topicloom.operators.nearest import assign_nearest, top_n_categories
 from topicloom.plans.clustering import cluster_topics
 from topicloom.plans.tagging import add_categories, add_categories_clustered, rescore_categories
-from topicloom.plans.taxonomy import build_taxonomy
+from topicloom.plans.pipeline import build_categories
 
 RNG = np.random.default_rng(11)
 
@@ -99,6 +100,37 @@ def test_hierarchical_and_recluster(spark):
     assert again.tolist() == [3] * 40 + [4] * 30
 
 
+def test_three_separated_groups(spark):
+    """Ward merging on unit vectors with the default threshold; null and zero vectors stay outliers."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.eye(8)[c] + rng.normal(0, 0.02, (30, 8)) for c in (0, 3, 6)])
+    df = table(spark, x)
+    found = hierarchical_cluster(df, distance_threshold=float(default_min_samples(10))).toPandas().sort_values("id").label
+    assert found.tolist() == [0] * 30 + [1] * 30 + [2] * 30
+    lost = spark.createDataFrame([(900, None), (901, [0.0] * 8)], "id long, embedding array<double>")
+    rows = df.select("id", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(lost)
+    rows = rows.withColumn("label", F.lit(-1)).withColumn("query", F.concat(F.lit("red chair "), F.col("id") % 3))
+    again = {r["id"]: r["label"] for r in recluster_outliers(rows, distance_threshold=3.0).collect()}
+    assert len(again) == 92 and again[900] == again[901] == -1 and len(set(again.values())) == 4
+    for model in ("hdbscan", "agglomerative"):
+        out = cluster_topics(rows.drop("label"), cluster_model=model, min_cluster_size=5).collect()
+        assert len(out) == 92 and all(r["label"] is not None for r in out)
+
+
+def test_ward_merges_against_brute_force():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(14, 3))
+    groups = [[i] for i in range(14)]
+    cost = lambda a, b: np.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+    while True:
+        best = min(((cost(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j), default=(9, 0, 0))
+        if best[0] > 1.8:
+            break
+        groups[best[1]] += groups.pop(best[2])
+    got = ward_merges(np.ones(14), x, 1.8)
+    assert {frozenset(np.flatnonzero(got == g).tolist()) for g in set(got.tolist())} == set(map(frozenset, groups))
+
+
 def test_outliers_and_silhouette(spark):
     x = groups()[:70]
     label = np.array([0] * 35 + [-1] * 5 + [1] * 25 + [-1] * 5)
@@ -149,14 +181,14 @@ def test_cluster_topics_names(spark):
 
 def test_add_categories(spark):
     df, cats = texts_with_groups(spark), categories(spark)
-    got = add_categories(df, cats).toPandas().sort_values("id").taxonomy
+    got = add_categories(df, cats).toPandas().sort_values("id").category_path
     assert set(got[:40]) == {"Home > Chairs"} and set(got[40:70]) == {"Home > Lamps"}
     with pytest.raises(TypeError):
         add_categories(df, cats, top_n=3)
     with pytest.raises(TypeError):
         add_categories(df, cats, cross_encoded=True, unknown=1)
     clustered = add_categories_clustered(df, cats, reduction_dims=2).toPandas()
-    assert len(clustered) == 75 and clustered.taxonomy.notna().all()
+    assert len(clustered) == 75 and clustered.category_path.notna().all()
 
 
 def test_rescored_outliers(spark):
@@ -200,16 +232,19 @@ def test_enrich_and_entities(spark):
     assert {r["entity"] for r in seen.collect()} == {"Google", "bing", "Bing"}
 
 
-def test_build_taxonomy(spark):
+def test_build_categories(spark):
     rows = [("pool chairs", 10), ("red lamp", 4), ("garden chairs", 6)] * 4
     log = spark.createDataFrame(rows, "query string, search_volume long")
     outline = "Home\n  - Chairs\n  - Lamp"
-    built = build_taxonomy(log, outline, min_df=2)
-    tagged = {(r["query"], r["taxonomy"]) for r in built.tagged.collect()}
+    built = build_categories(log, outline, min_df=2)
+    tagged = {(r["query"], r["category_path"]) for r in built.tagged.collect()}
     assert tagged == {
         ("pool chairs", "Home > Chairs"), ("garden chairs", "Home > Chairs"), ("red lamp", "Home > Lamp"),
     }
-    asked = build_taxonomy(log, write_outline=lambda table: outline, min_df=2)
+    more = log.unionByName(spark.createDataFrame([(None, 3)], log.schema))
+    kept = build_categories(more, outline, min_df=2).tagged.collect()
+    assert len(kept) == 13 and [r["category_path"] for r in kept if r["query"] is None] == ["Miscellaneous"]
+    asked = build_categories(log, write_outline=lambda table: outline, min_df=2)
     assert asked.categories.count() == 2
     with pytest.raises(RuntimeError):
-        build_taxonomy(log, write_outline=lambda table: 1 / 0, min_df=2)
+        build_categories(log, write_outline=lambda table: 1 / 0, min_df=2)

@@ -1,4 +1,4 @@
-"""topicloom: topic extraction and taxonomy tagging for search queries on Spark."""
+"""topicloom: topic extraction and category tagging for search queries on Spark."""
 
 import sys
 

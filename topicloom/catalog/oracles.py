@@ -608,7 +608,7 @@ FROM (SELECT DISTINCT label FROM parts) LEFT JOIN tops USING (label)"""
 # --- tagging ----------------------------------------------------------------------------------------
 
 ORACLES["add_category_paths"] = f"""{_RATED}
-SELECT id, 'Labels > L' || category_id AS taxonomy FROM rated WHERE position = 1"""
+SELECT id, 'Labels > L' || category_id AS category_path FROM rated WHERE position = 1"""
 
 _RESCORED = f"""
 WITH {_WORD_SCORES}, {_CENTERS},
@@ -641,7 +641,7 @@ SELECT md5(query) AS text_key, CAST(category_id AS BIGINT) AS category_id,
        round(best_score, 6) AS best_score, round(spread, 6) AS spread FROM found"""
 
 ORACLES["add_category_paths_rescored"] = f"""{_RESCORED}
-SELECT id, coalesce(path, 'Miscellaneous') AS taxonomy
+SELECT id, coalesce(path, 'Miscellaneous') AS category_path
 FROM docs JOIN found USING (query) LEFT JOIN cats USING (category_id)"""
 
 # --- user callables -----------------------------------------------------------------------------------

@@ -22,7 +22,7 @@ from topicloom.operators.nearest import assign_nearest, top_n_categories
 from topicloom.operators.percentile import exact_percentile
 from topicloom.plans.clustering import cluster_topics
 from topicloom.plans.tagging import add_categories, add_categories_clustered, rescore_categories
-from topicloom.plans.taxonomy import build_taxonomy
+from topicloom.plans.pipeline import build_categories
 from topicloom.plans.topics import score_topics, scored_topics
 from topicloom.runtime import materialize, scratch_dir, spread
 from topicloom.sources import readers
@@ -580,9 +580,7 @@ def density_groups(t: Tables) -> DataFrame:
 
 @query
 def threshold_groups(t: Tables) -> DataFrame:
-    return cluster.hierarchical_cluster(
-        t.vectors().drop("label"), distance_threshold=1.05
-    ).select("id", "label")
+    return cluster.threshold_cluster(t.vectors().drop("label"), 1.05).select("id", "label")
 
 
 @query
@@ -686,7 +684,7 @@ def cluster_names_by_category(t: Tables) -> DataFrame:
 @query
 def add_category_paths(t: Tables) -> DataFrame:
     rows = t.vectors().select("id", F.col("id").cast("string").alias("query"), "embedding")
-    return add_categories(rows, t.label_categories()).select("id", "taxonomy")
+    return add_categories(rows, t.label_categories()).select("id", "category_path")
 
 
 def _documents_with_vectors(t: Tables) -> DataFrame:
@@ -724,7 +722,7 @@ def add_category_paths_rescored(t: Tables) -> DataFrame:
     return add_categories(
         _documents_with_vectors(t), _frequent_word_categories(t), cross_encoded=True,
         std_threshold=0.05,
-    ).select("id", "taxonomy")
+    ).select("id", "category_path")
 
 
 @query
@@ -738,17 +736,17 @@ def cluster_texts(t: Tables) -> DataFrame:
 @query
 def add_category_paths_clustered(t: Tables) -> DataFrame:
     rows = t.vectors().select("id", F.concat(F.lit("text "), "id").alias("query"), "embedding")
-    return add_categories_clustered(rows, t.label_categories()).select("id", "taxonomy")
+    return add_categories_clustered(rows, t.label_categories()).select("id", "category_path")
 
 
 @query
-def taxonomy(t: Tables) -> DataFrame:
+def tagged_log(t: Tables) -> DataFrame:
     log = t.part_log().select(
         "query", F.concat(F.lit("https://shop.example/"), "page").alias("url"),
         F.col("volume").alias("search_volume"),
     )
-    built = build_taxonomy(log, t.outlines().select("outline"), min_df=5)
-    return built.tagged.groupBy("query", "taxonomy").agg(F.count(F.lit(1)).alias("rows"))
+    built = build_categories(log, t.outlines().select("outline"), min_df=5)
+    return built.tagged.groupBy("query", "category_path").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # --- user callables ----------------------------------------------------------------------------

@@ -86,13 +86,15 @@ def assign_outliers(
         ).drop("distance"),
         "outliers",
     )
-    kept = df.where(F.col(label_col) != -1)
-    if out.select("category_id").distinct().limit(2).count() < 2:
+    kept = df.where(~F.col(label_col).eqNullSafe(-1))
+    if out.select("category_id").where("category_id is not null").distinct().limit(2).count() < 2:
         return kept.unionByName(out.drop("category_id"))
     new_label = F.col("category_id")
     if gate == "silhouette":
         out = silhouette_rows(out, "category_id", vector_col)
         new_label = F.when(F.col("silhouette") > 0, new_label).otherwise(F.col(label_col))
+    # a row without a usable vector has no nearest centroid and stays an outlier
+    new_label = F.coalesce(new_label, F.col(label_col))
     moved = out.withColumn(label_col, new_label.cast(df.schema[label_col].dataType))
     return kept.unionByName(moved.select(*df.columns))
 

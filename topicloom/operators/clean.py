@@ -14,9 +14,9 @@ MIN_QUERY_CHARS = 3
 
 
 def integer_volume(volume: Column) -> Column:
-    """Whole-number volume: anything missing or not a number counts as 0."""
+    """Whole-number volume: anything missing, not a number or beyond a long counts as 0."""
     number = F.nanvl(F.coalesce(volume.try_cast("double"), F.lit(0.0)), F.lit(0.0))
-    return number.cast("long")
+    return F.coalesce(number.try_cast("long"), F.lit(0).cast("long"))
 
 
 def top_n_per_group(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.vectors import l2_normalize, norm
+from topicloom.operators.centroids import mean_vector
 from topicloom.operators.components import connected_components
 from topicloom.operators.knn import close_pairs_forest, knn_distance_curve, knn_graph
 from topicloom.operators.rank import global_rank, knee_points
@@ -18,6 +20,8 @@ from topicloom.runtime import materialize
 
 RANDOM_SEED = 42
 DEFAULT_EPSILON = 0.5
+#: Most groups that Ward merging starts from.
+WARD_LEAVES = 256
 
 
 def default_min_samples(min_cluster_size: int) -> int:
@@ -127,6 +131,55 @@ def _attach(df: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Da
     ).drop("_label")
 
 
+def ward_merges(sizes: np.ndarray, centers: np.ndarray, threshold: float) -> np.ndarray:
+    """Group number of each centre after all Ward merges that cost at most ``threshold``."""
+    n = len(sizes)
+    group, sizes, centers = np.arange(n), sizes.astype(float).copy(), centers.astype(float).copy()
+    cost = np.full((n, n), np.inf)
+
+    def update(i: int, live: np.ndarray) -> None:
+        apart = np.linalg.norm(centers[live] - centers[i], axis=1)
+        cost[i, live] = cost[live, i] = np.sqrt(2 * sizes[i] * sizes[live] / (sizes[i] + sizes[live])) * apart
+        cost[i, i] = np.inf
+
+    for i in range(n):
+        update(i, np.arange(n))
+    alive = np.ones(n, dtype=bool)
+    for _ in range(n - 1):
+        a, b = divmod(int(cost.argmin()), n)
+        if cost[a, b] > threshold:
+            break
+        centers[a] = (sizes[a] * centers[a] + sizes[b] * centers[b]) / (sizes[a] + sizes[b])
+        sizes[a] += sizes[b]
+        group[group == b] = a
+        alive[b] = False
+        cost[b, :] = cost[:, b] = np.inf
+        update(a, np.flatnonzero(alive))
+    return np.unique(group, return_inverse=True)[1]
+
+
+def ward_cluster(
+    df: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", label_col: str = "label",
+) -> DataFrame:
+    """Groups of least variance growth: merging goes on while its Ward cost is at most ``threshold``.
+
+    Rows are first split top-down into at most ``WARD_LEAVES`` small groups;
+    their sizes and centres, a table of that bounded size, are merged exactly.
+    Groups are numbered by their smallest id.
+    """
+    base = df.drop(label_col) if label_col in df.columns else df
+    ready = base.withColumn("_in", array_to_vector(F.col(vector_col).cast("array<double>")))
+    split = BisectingKMeans(k=WARD_LEAVES, seed=RANDOM_SEED, featuresCol="_in", predictionCol="_leaf")
+    leaves = materialize(split.fit(ready).transform(ready).drop("_in"), "leaves")
+    sums = leaves.groupBy("_leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"), mean_vector(vector_col).alias("center")
+    )
+    found = sums.orderBy("first").collect()
+    groups = ward_merges(np.array([r["n"] for r in found]), np.array([r["center"] for r in found]), threshold)
+    names = df.sparkSession.createDataFrame([(r["_leaf"], int(g)) for r, g in zip(found, groups)], f"_leaf int, {label_col} int")
+    return leaves.join(F.broadcast(names), "_leaf").drop("_leaf")
+
+
 def hierarchical_cluster(
     df: DataFrame,
     k: int | None = None,
@@ -135,11 +188,11 @@ def hierarchical_cluster(
     vector_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
-    """``k`` groups by top-down bisecting, or the groups under a distance threshold."""
+    """``k`` groups by top-down bisecting, or the groups under a Ward cost threshold."""
     if (k is None) == (distance_threshold is None):
         raise ValueError("give either k or distance_threshold")
     if k is None:
-        return threshold_cluster(df, distance_threshold, id_col, vector_col, label_col)
+        return ward_cluster(df, distance_threshold, id_col, vector_col, label_col)
     base = df.drop(label_col) if label_col in df.columns else df
     ready = base.withColumn("_in", array_to_vector(F.col(vector_col).cast("array<double>")))
     model = BisectingKMeans(
@@ -156,12 +209,18 @@ def recluster_outliers(
     vector_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
-    """Group the rows still labelled -1; their labels start after the highest one."""
+    """Group the rows still labelled -1 by their unit vectors; new labels follow the highest one.
+
+    Rows without a usable vector stay -1.
+    """
     stored = materialize(df, "labelled")
-    out = stored.where(F.col(label_col) == -1)
-    if out.limit(1).count() == 0:
+    out = unit_vectors(stored.where(F.col(label_col) == -1).withColumn("_unit", F.col(vector_col)), "_unit")
+    usable = out.where(F.col("_unit").isNotNull())
+    if usable.limit(1).count() == 0:
         return stored
     top = stored.select((F.max(label_col) + 1).alias("v")).scalar()
-    redone = hierarchical_cluster(out, k, distance_threshold, id_col, vector_col, label_col)
+    redone = hierarchical_cluster(usable, k, distance_threshold, id_col, "_unit", label_col)
     redone = redone.withColumn(label_col, (F.col(label_col) + top).cast("int"))
-    return stored.where(F.col(label_col) != -1).unionByName(redone.select(*stored.columns))
+    rest = out.where(F.col("_unit").isNull()).select(*stored.columns)
+    kept = stored.where(~F.col(label_col).eqNullSafe(-1))
+    return kept.unionByName(redone.select(*stored.columns)).unionByName(rest)

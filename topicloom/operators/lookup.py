@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import strip_spaces
-from topicloom.runtime import materialize
+from topicloom.runtime import BROADCAST_BYTES, materialize, table_bytes
 
 
 def name_dimension(dim: DataFrame, cut_at: str, name_col: str = "name", code_col: str = "code",
@@ -61,8 +61,12 @@ def lookup_code(df: DataFrame, name_col: str, dim: DataFrame, contains: bool = F
 def cross_pairs(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
     """Every pair of items from two lists except equal ones: item1, item2.
 
-    The result is a product by definition; both sides are meant to be lists.
+    The result is a product by definition, so both sides must be short lists:
+    each is measured, and one above the broadcast limit raises.
     """
+    for df, name in ((left, left_col), (right, right_col)):
+        if table_bytes(df, name) > BROADCAST_BYTES:
+            raise ValueError(f"{name} is too long a list for a product")
     a = left.select(F.col(left_col).alias("item1"))
     b = right.select(F.col(right_col).alias("item2"))
     return a.join(b, F.col("item1") != F.col("item2"))

@@ -21,7 +21,7 @@ from topicloom.sources.discovery import rename_url_column
 
 
 @dataclass
-class Taxonomy:
+class CategoryBuild:
     """Categories (category_id, path, path_text), tagged rows, topics, prompt table."""
 
     categories: DataFrame
@@ -30,7 +30,7 @@ class Taxonomy:
     query_data: DataFrame
 
 
-def build_taxonomy(
+def build_categories(
     queries: DataFrame,
     outline: DataFrame | str | None = None,
     write_outline: Callable[[str], str] | None = None,
@@ -43,12 +43,12 @@ def build_taxonomy(
     cross_encoded: bool = False,
     stop_words: Iterable[str] = ENGLISH,
     **rescoring,
-) -> Taxonomy:
+) -> CategoryBuild:
     """Clean, score topics, read the outline, tag the rows.
 
     ``queries`` has query and search_volume (``provided``; one column of page
     addresses turns the per-page limit on) or query, page, clicks, impressions
-    (``performance``).  The outline is text, a table with column ``outline``,
+    (``performance``).  Every row is tagged; one without a query gets the outlier path.  The outline is text, a table with column ``outline``,
     or written by ``write_outline`` from the topics' markdown table.
     """
     limit = limit_queries_per_page
@@ -74,8 +74,8 @@ def build_taxonomy(
     elif isinstance(outline, str):
         outline = spark.createDataFrame([(outline,)], "outline string")
     categories = category_table(outline_table(outline))
-    rows = cleaned if kind == "performance" else source.where(F.col("query").isNotNull())
-    texts = categories.select(F.col("path_text").alias("query")).unionByName(rows.select("query"))
+    rows = cleaned if kind == "performance" else source
+    texts = categories.select(F.col("path_text").alias("query")).unionByName(rows.select("query").dropna())
     vectors = materialize(
         encode_texts(texts.distinct(), "query", encoder).select(
             F.col("query").alias("text"), "embedding"
@@ -87,4 +87,4 @@ def build_taxonomy(
     )
     ready = rows.join(vectors.withColumnRenamed("text", "query"), "query", "left")
     tagged = add_categories(ready, placed, cross_encoded=cross_encoded, **rescoring)
-    return Taxonomy(categories, tagged.drop("embedding"), topics, query_data)
+    return CategoryBuild(categories, tagged.drop("embedding"), topics, query_data)

@@ -69,7 +69,7 @@ def add_categories(
     cross_encoded: bool = False,
     **rescoring,
 ) -> DataFrame:
-    """Add ``taxonomy``: the path of each row's category.
+    """Add ``category_path``: the path of each row's category.
 
     ``categories`` has category_id, path, path_text, embedding.  Rows without a
     usable vector, and outliers of the rescored form, get the outlier path.
@@ -83,9 +83,9 @@ def add_categories(
         tagged = df.join(found, match_col, "left")
     else:
         tagged = assign_nearest(df, categories, vector_col, "embedding").drop("similarity")
-    paths = categories.select("category_id", F.col("path").alias("taxonomy"))
+    paths = categories.select("category_id", F.col("path").alias("category_path"))
     return tagged.join(paths, "category_id", "left").select(
-        *df.columns, F.coalesce("taxonomy", F.lit(OUTLIER_PATH)).alias("taxonomy")
+        *df.columns, F.coalesce("category_path", F.lit(OUTLIER_PATH)).alias("category_path")
     )
 
 
@@ -99,7 +99,7 @@ def add_categories_clustered(
     min_samples: int | None = 2,
     reduction_dims: int | float = 2,
 ) -> DataFrame:
-    """Add ``taxonomy``: the category nearest to each row's cluster."""
+    """Add ``category_path``: the category nearest to each row's cluster."""
     out = cluster_topics(
         df,
         id_col=id_col,
@@ -112,8 +112,8 @@ def add_categories_clustered(
         keep_outliers=True,
     )
     paths = categories.groupBy(F.col("path_text").alias("text_label")).agg(
-        F.min("path").alias("taxonomy")
+        F.min("path").alias("category_path")
     )
     return out.join(paths, "text_label", "left").select(
-        *df.columns, F.coalesce("taxonomy", F.lit(OUTLIER_PATH)).alias("taxonomy")
+        *df.columns, F.coalesce("category_path", F.lit(OUTLIER_PATH)).alias("category_path")
     )

@@ -8,17 +8,13 @@ from pyspark.sql.types import StringType
 
 from topicloom.functions.text import URL_START
 
-PROBE_ROWS = 10
-
-
 def detect_url_column(df: DataFrame) -> DataFrame:
-    """One row per string column whose first rows all look like addresses.
+    """One row per string column whose values all look like addresses.
 
-    The probe reads the first ten rows, as the feature is defined; nulls pass,
-    but at least one value must match.
+    Nulls pass, but at least one value must match.  All rows are tested, as a
+    table has no first ones; one partial aggregate reads the string columns.
     """
     names = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-    head = df.select(*names).limit(PROBE_ROWS)
     checks = []
     for name in names:
         hit = F.col(f"`{name}`").rlike(URL_START)
@@ -32,15 +28,17 @@ def detect_url_column(df: DataFrame) -> DataFrame:
     if not checks:
         return df.sparkSession.createDataFrame([], "column string")
     return (
-        head.agg(F.array(*checks).alias("c"))
+        df.agg(F.array(*checks).alias("c"))
         .select(F.inline("c"))
         .where("all_match and any_match")
         .select("column")
     )
 
 
-def rename_url_column(df: DataFrame) -> tuple[DataFrame, bool]:
-    """Rename the only address column to page; the flag tells if there was one."""
+def rename_url_column(df: DataFrame, column: str | None = None) -> tuple[DataFrame, bool]:
+    """Rename the only address column, or ``column``, to page; the flag tells if there was one."""
+    if column is not None:
+        return df.withColumnRenamed(column, "page"), True
     found = [r["column"] for r in detect_url_column(df).limit(2).collect()]
     if len(found) != 1:
         return df, False
