@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,11 @@ def test_exact_percentile(spark):
     df = spark.createDataFrame([(float(v),) for v in (5, 1, 3, 2)], "v double")
     assert exact_percentile(df, "v", 50).first()["value"] == 2.5
     assert exact_percentile(df, "v", 100).first()["value"] == 5.0
+
+
+@pytest.mark.parametrize("percent", [0, 12.5, 98.9, 99.1, 100])
+def test_percentile_of_mostly_one_value(spark, percent):
+    """99 % of the rows hold one value; they are one row before anything is sorted."""
+    values = [0.0] * 1980 + [float(v) for v in range(1, 21)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").union(spark.createDataFrame([(None,)], "x double"))
+    assert exact_percentile(df, "x", percent).first()["value"] == pytest.approx(np.percentile(values, percent))

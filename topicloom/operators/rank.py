@@ -27,7 +27,7 @@ MAX_SAMPLES = 1000
 SWEEP = tuple(range(1000, 0, -20))
 
 
-def _positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Materialised rows with ``_part`` and the 0-based position ``_pos`` in it."""
     position = F.monotonically_increasing_id()
     ordered = df.orderBy(*order).withColumn("_mid", position)
@@ -53,12 +53,12 @@ def _with_rank(rows: DataFrame, rank_col: str) -> DataFrame:
 
 def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:
     """1-based rank over the whole table in the given order."""
-    ranked = _with_rank(_positions(df, order), rank_col)
+    ranked = _with_rank(positions(df, order), rank_col)
     return ranked.select(*df.columns, rank_col)
 
 
 def _difference_curve(df: DataFrame, score_col: str, order: Sequence[Column]) -> DataFrame:
-    ranked = _with_rank(_positions(df, order), "rank").select(
+    ranked = _with_rank(positions(df, order), "rank").select(
         "_part", "rank", F.col(score_col).cast("double").alias("score")
     )
     ends = ranked.select(
