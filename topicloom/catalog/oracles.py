@@ -169,6 +169,12 @@ SELECT event_type AS query, 'https://site.example/' || user_id AS page,
 FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-23' AND DATE '2024-01-30'
 GROUP BY 1, 2"""
 
+ORACLES["read_queries_performance"] = """
+SELECT 'user ' || user_id AS query, '/' AS page, count(*) AS clicks,
+       CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS impressions
+FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-30'
+GROUP BY 1, 2"""
+
 ORACLES["property_listing"] = r"""
 SELECT url AS property, regexp_replace(url, 'https?://(www\.)?|sc-domain:', '', 'g') AS property_domain,
        'gsc' AS type, CAST(NULL AS VARCHAR) AS "table" FROM pages"""
@@ -394,6 +400,10 @@ keep AS (SELECT greatest(300, coalesce(max_by(knee, s), 1000)) AS n FROM knees W
 SELECT query, round(score, 6) AS score FROM ranked, keep
 WHERE rank <= CASE WHEN (SELECT n FROM ends) <= 1000 THEN 1000 ELSE keep.n END"""
 
+ORACLES["select_topics_floor"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS query, round(o_totalprice, 6) AS score FROM orders
+ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR) LIMIT 1200"""
+
 ORACLES["percentile"] = """
 SELECT round(quantile_cont(l_extendedprice, 0.375), 6) AS value FROM lineitem"""
 
@@ -455,6 +465,8 @@ ORACLES["knn"] = f"""
 WITH {_CENTERS}, {_NEIGHBORS}
 SELECT id, neighbor, position, CAST(round(d * 1e7) AS BIGINT) AS distance_e7 FROM near WHERE position <= 4"""
 
+ORACLES["knn_blocked"] = ORACLES["knn"]
+
 _CURVE = """
 sorted AS (SELECT d, row_number() OVER (PARTITION BY position ORDER BY d) AS rank FROM near WHERE position <= {k}),
 curve0 AS (SELECT rank, avg(d) AS distance FROM sorted GROUP BY rank)"""
@@ -527,6 +539,26 @@ links AS (SELECT id AS a, neighbor AS b FROM dist WHERE d <= 1.05),
 named AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS label FROM groups GROUP BY g)
 SELECT id, label FROM groups JOIN named USING (g)"""
 
+ORACLES["density_groups_blocked"] = ORACLES["density_groups"]
+ORACLES["threshold_groups_blocked"] = ORACLES["threshold_groups"]
+
+ORACLES["recluster"] = """
+WITH first AS (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS r
+               FROM embeddings WHERE label >= 8 GROUP BY label),
+top AS (SELECT max(label) + 1 AS t FROM embeddings WHERE label < 8)
+SELECT vec_id AS id, CAST(CASE WHEN label < 8 THEN label ELSE t + r END AS BIGINT) AS label
+FROM embeddings LEFT JOIN first USING (label), top"""
+
+ORACLES["encode"] = f"""
+SELECT doc_id, CAST(64 AS BIGINT) AS size, CASE WHEN len({_tokens("text")}) > 0 THEN 1.0 ELSE 0.0 END AS length
+FROM documents"""
+
+ORACLES["encode_with_cache"] = """
+WITH known AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, CAST(CASE WHEN k.text IS NULL THEN length(d.text) ELSE -length(d.text) END AS DOUBLE) AS chars,
+       CAST(CASE WHEN k.text IS NULL THEN length(d.text) - length(replace(d.text, 'e', '')) ELSE 0 END AS DOUBLE) AS e_count
+FROM documents d LEFT JOIN known k ON k.text = d.text"""
+
 ORACLES["encode_with_user_model"] = """
 SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars,
        CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e_count FROM documents"""
@@ -554,7 +586,7 @@ ORACLES["class_terms_scaled"] = _class_terms(
     _PLAIN_IDF, "({tf})", "CASE WHEN length(term) > 6 THEN 2.0 ELSE 1.0 END"
 )
 
-_CLUSTERS = f"""
+_NAMED_PARTS = """
 parts AS (
   SELECT p_partkey AS id, lower(p_name) AS query,
          CASE WHEN CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) > 20 THEN -1
@@ -562,7 +594,9 @@ parts AS (
 names AS (SELECT query, row_number() OVER (ORDER BY query) - 1 AS number
           FROM (SELECT DISTINCT query FROM parts)),
 named AS (SELECT p.id, p.query, p.label, CAST(e.embedding AS DOUBLE[]) AS v
-          FROM parts p JOIN names USING (query) JOIN embeddings e ON e.vec_id = number),
+          FROM parts p JOIN names USING (query) JOIN embeddings e ON e.vec_id = number)"""
+
+_CLUSTER_TERMS = f"""
 inside AS (SELECT id, label, query FROM named WHERE label > -1),
 g AS ({_grams("inside", "id", "query", 1, 4, "label,")}),
 vocab AS (SELECT query AS feature, min(v) AS v FROM named
@@ -581,6 +615,8 @@ rated AS (SELECT label, feature, tfidf, list_cosine_similarity(v, c) AS similari
 placed AS (SELECT *, tfidf * similarity AS score,
              row_number() OVER (PARTITION BY label ORDER BY tfidf * similarity DESC, feature) AS position FROM rated)"""
 
+_CLUSTERS = f"{_NAMED_PARTS}, {_CLUSTER_TERMS}"
+
 ORACLES["cluster_terms"] = f"""
 WITH {_CLUSTERS}
 SELECT CAST(label AS BIGINT) AS label, position, feature, round(tfidf, 6) AS tfidf,
@@ -593,14 +629,19 @@ SELECT CAST(label AS BIGINT) AS label,
        CASE WHEN label = -1 THEN '<outliers>' ELSE coalesce(t, '<no label found>') END AS text_label
 FROM (SELECT DISTINCT label FROM parts) LEFT JOIN tops USING (label)"""
 
-ORACLES["cluster_names_by_category"] = f"""
-WITH {_CLUSTERS},
-tx AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS pos FROM placed WHERE position <= 3),
+def _by_category(top: int, name: str) -> str:
+    """CTEs ending in tops(label, t): what ``name`` says of the centre nearest to a cluster's terms."""
+    return f"""
+tx AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS pos FROM placed WHERE position <= {top}),
 tm AS (SELECT label, pos, avg(x) AS m FROM tx GROUP BY label, pos),
 tc AS (SELECT label, list(m ORDER BY pos) AS t FROM tm GROUP BY label),
 {_CENTERS},
-tops AS (SELECT tc.label, 'Labels L' || min_by(c.label, list_distance(tc.t, c.c)) AS t
-         FROM tc, centers c GROUP BY tc.label)
+tops AS (SELECT tc.label, '{name}' || min_by(c.label, list_distance(tc.t, c.c)) AS t
+         FROM tc, centers c GROUP BY tc.label)"""
+
+
+ORACLES["cluster_names_by_category"] = f"""
+WITH {_CLUSTERS}, {_by_category(3, "Labels L")}
 SELECT CAST(label AS BIGINT) AS label,
        CASE WHEN label = -1 THEN '<outliers>' ELSE coalesce(t, '<no label found>') END AS text_label
 FROM (SELECT DISTINCT label FROM parts) LEFT JOIN tops USING (label)"""
@@ -612,14 +653,14 @@ SELECT id, 'Labels > L' || category_id AS category_path FROM rated WHERE positio
 
 _RESCORED = f"""
 WITH {_WORD_SCORES}, {_CENTERS},
-top40 AS (SELECT query, row_number() OVER (ORDER BY score DESC, query) AS r
-          FROM word_scores ORDER BY r LIMIT 40),
+dealt AS (SELECT query, row_number() OVER (ORDER BY score DESC, query) AS r FROM word_scores),
+best_words AS (SELECT query, r FROM dealt QUALIFY row_number() OVER (PARTITION BY (r - 1) % 10 ORDER BY r) <= 4),
 cat_names AS (SELECT CAST((r - 1) % 10 AS BIGINT) AS category_id, string_agg(query, ' ' ORDER BY query) AS t
-              FROM top40 GROUP BY 1),
+              FROM best_words GROUP BY 1),
 cats AS (SELECT category_id, 'Words > ' || t AS path, 'Words ' || t AS path_text, c
          FROM cat_names JOIN centers ON label = category_id),
 docs AS (SELECT doc_id AS id, text AS query, CAST(embedding AS DOUBLE[]) AS v
-         FROM documents JOIN embeddings ON doc_id = vec_id),
+         FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
 texts AS (SELECT query, min(v) AS v FROM docs GROUP BY query),
 short AS (SELECT query, category_id, path_text,
                  row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(v, c) DESC, category_id) AS position
@@ -640,6 +681,60 @@ ORACLES["rescored_categories"] = f"""{_RESCORED}
 SELECT md5(query) AS text_key, CAST(category_id AS BIGINT) AS category_id,
        round(best_score, 6) AS best_score, round(spread, 6) AS spread FROM found"""
 
+_LENGTHS = "1.0 / (1.0 + abs(length(query) % 100 - length(path_text))) AS pair_score FROM short"
+_BY_LENGTH = _RESCORED[: _RESCORED.index("         CAST(len(list_intersect")] + f"         {_LENGTHS}"
+_BY_LENGTH += _RESCORED[_RESCORED.index("),\ncut AS") :].replace("spread >= 0.05", "spread >= 0.01")
+
+ORACLES["rescored_with_user_model"] = f"""{_BY_LENGTH}
+SELECT md5(query) AS text_key, CAST(category_id AS BIGINT) AS category_id,
+       round(best_score, 6) AS best_score, round(spread, 6) AS spread FROM found"""
+
+_TYPED_PARTS = """
+types AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS t,
+                 row_number() OVER (ORDER BY min(p_partkey)) - 1 AS label FROM part GROUP BY p_type),
+named AS (SELECT p.p_partkey AS id, lower(p.p_name) AS query, y.label,
+                 list_transform(CAST(e.embedding AS DOUBLE[]),
+                                lambda x, i: x * 0.1 + CASE WHEN i = y.t + 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v
+          FROM part p JOIN types y USING (p_type)
+          JOIN embeddings e ON e.vec_id = p.p_partkey % (SELECT count(*) FROM embeddings))"""
+
+ORACLES["cluster_texts"] = f"""
+WITH {_TYPED_PARTS}, {_CLUSTER_TERMS}, {_by_category(5, "Labels L")}
+SELECT id, CAST(label AS BIGINT) AS label, coalesce(t, '<no label found>') AS text_label
+FROM named LEFT JOIN tops USING (label)"""
+
+ORACLES["add_category_paths_clustered"] = f"""
+WITH {_TYPED_PARTS}, {_CLUSTER_TERMS}, {_by_category(5, "Labels > L")}
+SELECT id, coalesce(t, 'Miscellaneous') AS category_path FROM named LEFT JOIN tops USING (label)"""
+
+_MARKS = "string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')"
+
+
+def _letters(text: str) -> str:
+    counted = f"length({text}) - length(replace(lower({text}), c, ''))"
+    return f"list_transform({_MARKS}, lambda c: CAST({counted} AS DOUBLE))"
+
+
+ORACLES["tagged_log"] = f"""
+WITH {_OUTLINE},
+cats AS (SELECT row_number() OVER (ORDER BY path) - 1 AS category_id, path,
+                {_letters("replace(path, ' > ', ' ')")} AS c FROM (SELECT DISTINCT path FROM paths)),
+asked AS (SELECT p_name AS query, count(*) AS n, {_letters("p_name")} AS v FROM part GROUP BY p_name),
+rated AS (SELECT query, n, path FROM asked, cats
+          QUALIFY row_number() OVER (PARTITION BY query
+                                     ORDER BY round(list_cosine_similarity(v, c), 9) DESC, category_id) = 1)
+SELECT query, path AS category_path, n AS "rows" FROM rated"""
+
+ORACLES["tagged_log_topics"] = f"""
+WITH {_PART_LOG},
+cut AS (SELECT id, {_strip("query")} AS query, page, CAST(trunc(volume) AS BIGINT) AS volume, query AS whole FROM part_log),
+log AS (SELECT id, query, volume FROM cut WHERE length(query) >= 3
+        QUALIFY row_number() OVER (PARTITION BY page ORDER BY volume DESC, query, whole) <= 50),
+{_frequency("log", "id", "query", 1, 2, "2")}, {_MERGE},
+{_volumes("merged", "log", "id", "query", "volume")}, {_SCORED}
+SELECT query, round(search_volume, 6) AS search_volume, round(merged_frequency, 6) AS merged_frequency,
+       round(score, 6) AS score FROM scored"""
+
 ORACLES["add_category_paths_rescored"] = f"""{_RESCORED}
 SELECT id, coalesce(path, 'Miscellaneous') AS category_path
 FROM docs JOIN found USING (query) LEFT JOIN cats USING (category_id)"""
@@ -666,6 +761,9 @@ tags AS (SELECT text, {_trim("unnest(string_split(a, ','))")} AS entity FROM ans
 SELECT DISTINCT md5(text) AS topic_key, coalesce(e, entity) AS entity
 FROM tags LEFT JOIN names ON k = lower(entity) WHERE length(entity) > 0"""
 
+ORACLES["components_of_customers"] = """
+SELECT -1 - o_custkey AS component, count(DISTINCT o_orderkey) + 1 AS nodes FROM orders GROUP BY o_custkey"""
+
 ORACLES["components"] = """
 WITH RECURSIVE edges AS (
   SELECT DISTINCT l_orderkey AS a, -1 - l_partkey AS b FROM lineitem),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import FloatType, IntegerType, ShortType
+from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType
 
 from topicloom.functions import text as T
 from topicloom.functions import vectors as V
@@ -184,6 +185,20 @@ def performance_rollup(t: Tables) -> DataFrame:
     return readers.performance_rollup(daily, 7, "2024-01-30")
 
 
+@query
+def read_queries_performance(t: Tables) -> DataFrame:
+    """A property that only a search finds."""
+    daily = t.read("events").select(
+        F.concat(F.lit("sc-domain:"), "event_type", F.lit(".example")).alias("property"),
+        F.to_date("ts").alias("date"), F.concat(F.lit("user "), "user_id").alias("query"),
+        F.lit("/").alias("page"), F.lit(1).cast("long").alias("clicks"),
+        F.col("value").cast("long").alias("impressions"),
+    )
+    return readers.read_queries(
+        t.spark, "sc-domain:click", performance=daily, days=20, end_date="2024-01-30"
+    )
+
+
 @query
 def property_listing(t: Tables) -> DataFrame:
     return readers.property_listing(t.read("pages").select(F.col("url").alias("property")))
@@ -455,6 +470,15 @@ def select_topics(t: Tables) -> DataFrame:
     return rank.select_topics(t.word_scores(), "score", min_length=300)
 
 
+@query
+def select_topics_floor(t: Tables) -> DataFrame:
+    """A floor above the knee."""
+    orders = t.read("orders").select(
+        F.col("o_orderkey").cast("string").alias("query"), F.col("o_totalprice").alias("score")
+    )
+    return rank.select_topics(orders, "score", min_length=1200)
+
+
 @query
 def percentile(t: Tables) -> DataFrame:
     return exact_percentile(t.read("lineitem"), "l_extendedprice", 37.5)
@@ -542,6 +566,14 @@ def knn(t: Tables) -> DataFrame:
     )
 
 
+@query
+def knn_blocked(t: Tables) -> DataFrame:
+    near = knn_graph(t.vectors(), 4, block_rows=64)
+    return near.select(
+        "id", "neighbor", "position", F.round(F.col("distance") * 1e7).cast("long").alias("distance_e7")
+    )
+
+
 @query
 def knn_curve(t: Tables) -> DataFrame:
     curve = knn_distance_curve(knn_graph(t.vectors(), 4), 4)  # means of four such distances
@@ -583,6 +615,27 @@ def threshold_groups(t: Tables) -> DataFrame:
     return cluster.threshold_cluster(t.vectors().drop("label"), 1.05).select("id", "label")
 
 
+@query
+def density_groups_blocked(t: Tables) -> DataFrame:
+    rows = t.vectors().drop("label")
+    return cluster.density_cluster(rows, 1.12, 3, 5, block_rows=128).select("id", "label")
+
+
+@query
+def threshold_groups_blocked(t: Tables) -> DataFrame:
+    rows = t.vectors().drop("label")
+    return cluster.threshold_cluster(rows, 1.05, block_rows=128).select("id", "label")
+
+
+@query
+def components_of_customers(t: Tables) -> DataFrame:
+    """As many components as customers with orders."""
+    edges = t.read("orders").select(
+        (-1 - F.col("o_custkey")).alias("src"), F.col("o_orderkey").alias("dst")
+    )
+    return connected_components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query
 def components(t: Tables) -> DataFrame:
     edges = t.read("lineitem").select(
@@ -599,7 +652,17 @@ def bisecting_groups(t: Tables) -> DataFrame:
 
 @query
 def recluster(t: Tables) -> DataFrame:
-    return cluster.recluster_outliers(_with_outliers(t), k=3).select("id", "label")
+    """Outliers in two groups, far from each other."""
+    pushed = F.transform(
+        "embedding",
+        lambda x, i: x.cast("double") * 0.1 + F.when(i == F.col("part"), 1.0).otherwise(0.0),
+    )
+    rows = t.read("embeddings").select(
+        F.col("vec_id").alias("id"), F.when(F.col("label") >= 8, -1).otherwise(F.col("label")).alias("label"),
+        F.col("label").alias("part"), "embedding",
+    )
+    rows = rows.select("id", F.col("label").cast("int").alias("label"), pushed.alias("embedding"))
+    return cluster.recluster_outliers(rows, distance_threshold=3.0).select("id", "label")
 
 
 @query
@@ -630,6 +693,19 @@ def _shape_encoder():
     return lambda texts: np.array([[len(x), x.count("e")] for x in texts], dtype=np.float32)
 
 
+@query
+def encode_with_cache(t: Tables) -> DataFrame:
+    """Vectors of every other document are known; the known ones are told by a negative length."""
+    docs = t.documents().select("doc_id", F.col("text").alias("query"))
+    length = (-F.length("query")).cast("float")
+    known = docs.where("doc_id % 2 = 0").select(
+        F.col("query").alias("text"), F.array(length, F.lit(0.0).cast("float")).alias("embedding")
+    )
+    coded = encode_texts(docs, "query", _shape_encoder, known)
+    return coded.select("doc_id", F.get("embedding", F.lit(0)).alias("chars"),
+                        F.get("embedding", F.lit(1)).alias("e_count"))
+
+
 @query
 def encode_with_user_model(t: Tables) -> DataFrame:
     docs = t.documents().select("doc_id", F.col("text").alias("query"))
@@ -689,17 +765,18 @@ def add_category_paths(t: Tables) -> DataFrame:
 
 def _documents_with_vectors(t: Tables) -> DataFrame:
     docs = t.documents().select(F.col("doc_id").alias("id"), F.col("text").alias("query"))
-    return docs.join(t.read("embeddings"), F.col("id") == F.col("vec_id")).select(
-        "id", "query", "embedding"
-    )
+    vectors = t.read("embeddings").select("vec_id", "embedding")
+    many = vectors.select(F.count(F.lit(1)).alias("v")).scalar()
+    numbered = docs.withColumn("vec_id", F.pmod("id", many))
+    return numbered.join(vectors, "vec_id").select("id", "query", "embedding")
 
 
 def _frequent_word_categories(t: Tables) -> DataFrame:
-    """The label categories, each named by frequent words of the documents."""
-    words = t.word_scores().orderBy(F.desc("score"), "query").limit(40)
-    number = rank.global_rank(words, [F.desc("score"), F.asc("query")], "r")
-    slot = ((F.col("r") - 1) % 10).alias("category_id")
-    named = number.groupBy(slot).agg(
+    """The label categories: words are dealt to them by rank, the best four of each name it."""
+    number = rank.global_rank(t.word_scores(), [F.desc("score"), F.asc("query")], "r")
+    dealt = number.withColumn("category_id", (F.col("r") - 1) % 10)
+    best = clean.top_n_per_group(dealt, "category_id", 4, [F.asc("r")])
+    named = best.groupBy("category_id").agg(
         F.array_join(F.array_sort(F.collect_list("query")), " ").alias("path_text")
     )
     return materialize(
@@ -717,6 +794,20 @@ def rescored_categories(t: Tables) -> DataFrame:
     return found.select(F.md5("query").alias("text_key"), "category_id", "best_score", "spread")
 
 
+@F.pandas_udf(DoubleType())
+def _length_scorer(text: pd.Series, category: pd.Series) -> pd.Series:
+    """A stand-in for a user's pair model: closeness of the lengths."""
+    return 1.0 / (1.0 + (text.str.len() % 100 - category.str.len()).abs())
+
+
+@query
+def rescored_with_user_model(t: Tables) -> DataFrame:
+    found = rescore_categories(
+        _documents_with_vectors(t), _frequent_word_categories(t), _length_scorer, std_threshold=0.01
+    )
+    return found.select(F.md5("query").alias("text_key"), "category_id", "best_score", "spread")
+
+
 @query
 def add_category_paths_rescored(t: Tables) -> DataFrame:
     return add_categories(
@@ -725,28 +816,64 @@ def add_category_paths_rescored(t: Tables) -> DataFrame:
     ).select("id", "category_path")
 
 
+def _typed_vectors(t: Tables) -> DataFrame:
+    """Part names with vectors that lie close together for one type and apart for two."""
+    part = t.read("part")
+    types = rank.global_rank(part.select("p_type").distinct(), [F.asc("p_type")], "number")
+    vectors = t.read("embeddings").select("vec_id", "embedding")
+    many = vectors.select(F.count(F.lit(1)).alias("v")).scalar()
+    moved = F.transform(
+        "embedding",
+        lambda x, i: x.cast("double") * 0.1 + F.when(i == F.col("number") - 1, 1.0).otherwise(0.0),
+    )
+    rows = part.join(types, "p_type").withColumn("vec_id", F.pmod("p_partkey", many)).join(vectors, "vec_id")
+    return rows.select(
+        F.col("p_partkey").alias("id"), F.lower("p_name").alias("query"), moved.alias("embedding")
+    )
+
+
 @query
 def cluster_texts(t: Tables) -> DataFrame:
-    rows = t.named_vectors().drop("label")
-    return cluster_topics(rows, cluster_model="agglomerative", categories=t.label_categories()).select(
-        "id", "label", "text_label"
-    )
+    found = cluster_topics(_typed_vectors(t), use_elbow=False, categories=t.label_categories())
+    return found.select("id", "label", "text_label")
 
 
 @query
 def add_category_paths_clustered(t: Tables) -> DataFrame:
-    rows = t.vectors().select("id", F.concat(F.lit("text "), "id").alias("query"), "embedding")
-    return add_categories_clustered(rows, t.label_categories()).select("id", "category_path")
+    found = add_categories_clustered(
+        _typed_vectors(t), t.label_categories(), min_cluster_size=10, min_samples=3, reduction_dims=0,
+        use_elbow=False,
+    )
+    return found.select("id", "category_path")
 
 
-@query
-def tagged_log(t: Tables) -> DataFrame:
+def _letter_encoder():
+    """A stand-in for a user's model: how often each letter and digit occurs."""
+    import numpy as np
+
+    marks = "abcdefghijklmnopqrstuvwxyz0123456789"
+    return lambda texts: np.array([[x.lower().count(c) for c in marks] for x in texts], dtype=np.float32)
+
+
+def _built(t: Tables):
     log = t.part_log().select(
         "query", F.concat(F.lit("https://shop.example/"), "page").alias("url"),
         F.col("volume").alias("search_volume"),
     )
-    built = build_categories(log, t.outlines().select("outline"), min_df=5)
-    return built.tagged.groupBy("query", "category_path").agg(F.count(F.lit(1)).alias("rows"))
+    return build_categories(
+        log, t.outlines().select("outline"), ngram_range=(1, 2), min_df=2, limit_queries_per_page=50,
+        encoder=_letter_encoder,
+    )
+
+
+@query
+def tagged_log(t: Tables) -> DataFrame:
+    return _built(t).tagged.groupBy("query", "category_path").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def tagged_log_topics(t: Tables) -> DataFrame:
+    return _built(t).scored.select("query", "search_volume", "merged_frequency", "score")
 
 
 # --- user callables ----------------------------------------------------------------------------

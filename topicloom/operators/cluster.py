@@ -48,17 +48,18 @@ def reduce_vectors(df: DataFrame, dims: int | float, vector_col: str = "embeddin
 
 def estimate_epsilon(
     df: DataFrame, min_samples: int, id_col: str = "id", vector_col: str = "embedding",
-    use_elbow: bool = True,
+    use_elbow: bool = True, neighbors: DataFrame | None = None,
 ) -> float:
     """Distance at the elbow of the sorted neighbour-distance curve.
 
     The mean distance when there is no elbow or it is at 0; 0.5 when off.
+    ``neighbors`` may pass the written ``knn_graph`` for ``min_samples``.
     """
     if not use_elbow:
         return DEFAULT_EPSILON
-    curve = materialize(
-        knn_distance_curve(knn_graph(df, min_samples, id_col, vector_col), min_samples), "curve"
-    )
+    if neighbors is None:
+        neighbors = knn_graph(df, min_samples, id_col, vector_col)
+    curve = materialize(knn_distance_curve(neighbors, min_samples), "curve")
     elbow = knee_points(
         curve, "distance", [1.0], order=[F.desc("distance"), F.desc("rank")]
     ).first()["score"]
@@ -83,6 +84,8 @@ def density_cluster(
     id_col: str = "id",
     vector_col: str = "embedding",
     label_col: str = "label",
+    block_rows: int | None = None,
+    neighbors: DataFrame | None = None,
 ) -> DataFrame:
     """Label dense groups, -1 for the rest.
 
@@ -90,9 +93,12 @@ def density_cluster(
     ``epsilon`` are linked when they are within ``epsilon`` of each other; the
     connected groups of at least ``min_cluster_size`` rows are the clusters.
     This is the flat cut of the mutual-reachability hierarchy at ``epsilon``.
+    ``neighbors`` may pass the written ``knn_graph`` for ``min_samples``.
     """
     stored = materialize(df, "vectors")
-    core = knn_graph(stored, min_samples, id_col, vector_col).where(
+    if neighbors is None:
+        neighbors = knn_graph(stored, min_samples, id_col, vector_col, block_rows)
+    core = neighbors.where(
         (F.col("position") == min_samples) & (F.col("distance") <= epsilon)
     )
     dense = materialize(
@@ -101,7 +107,7 @@ def density_cluster(
         ),
         "dense",
     )
-    links = close_pairs_forest(dense, epsilon, "id", "vec")
+    links = close_pairs_forest(dense, epsilon, "id", "vec", block_rows)
     found = connected_components(links)
     alone = dense.select(F.col("id").alias("node")).join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
@@ -112,11 +118,11 @@ def density_cluster(
 
 def threshold_cluster(
     df: DataFrame, limit: float, id_col: str = "id", vector_col: str = "embedding",
-    label_col: str = "label",
+    label_col: str = "label", block_rows: int | None = None,
 ) -> DataFrame:
     """Label the groups linked by distances up to ``limit`` (single-linkage cut)."""
     stored = materialize(df, "vectors")
-    found = connected_components(close_pairs_forest(stored, limit, id_col, vector_col))
+    found = connected_components(close_pairs_forest(stored, limit, id_col, vector_col, block_rows))
     members = stored.select(F.col(id_col).cast("long").alias("node")).join(found, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )

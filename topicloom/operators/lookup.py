@@ -24,9 +24,10 @@ def lookup_code(df: DataFrame, name_col: str, dim: DataFrame, contains: bool = F
     """Add ``code`` for a name: exact match, else first row that contains it.
 
     ``dim`` has position (file order), name (lower case) and code.  Containment
-    is an equi-join too: every substring of every dimension name is listed once
-    with the code of the first row that holds it.  Both lookups are written
-    first, so Spark sees their true size and broadcasts them when small.
+    is an equi-join too: of every dimension name the substrings as long as a
+    name asked for are listed, and those asked for keep the code of the first
+    row that holds them.  Lookups are written first, so Spark sees their true
+    size and broadcasts them when small.
     """
     key = F.lower(F.col(name_col))
     exact = materialize(
@@ -35,18 +36,23 @@ def lookup_code(df: DataFrame, name_col: str, dim: DataFrame, contains: bool = F
     out = df.withColumn("_key", key).join(exact.withColumnRenamed("name", "_key"), "_key", "left")
     if not contains:
         return out.withColumn("code", F.col("_exact")).drop("_key", "_exact")
+    asked = materialize(out.select("_key").where(F.col("_key").isNotNull()).distinct(), "asked")
+    # at most one number per length of a dimension name
+    longest = dim.select(F.max(F.length("name")).alias("v")).scalar()
+    sizes = asked.select(F.length("_key").alias("n")).where(F.col("n") <= longest).distinct()
+    lengths = F.array(*[F.lit(r["n"]) for r in sizes.collect()]).cast("array<int>")
     length = F.length("name")
     parts = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), length),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), length - i + 1), lambda n: F.substring(F.col("name"), i, n)
+            F.filter(lengths, lambda n: n <= length),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), length - n + 1), lambda i: F.substring(F.col("name"), i, n)
             ),
         )
     )
-    whole = F.when(length > 0, F.array_union(parts, F.array(F.lit("")))).otherwise(F.array(F.lit("")))
     listed = (
-        dim.select("position", "code", F.explode(whole).alias("_key"))
+        dim.select("position", "code", F.explode(F.array_distinct(parts)).alias("_key"))
+        .join(asked, "_key", "left_semi")
         .groupBy("_key")
         .agg(F.min_by("code", "position").alias("_part"))
     )

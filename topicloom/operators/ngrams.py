@@ -36,12 +36,13 @@ def _flagged(grams: Column) -> Column:
     return let(F.sort_array(grams), flag)
 
 
-def _counted(df: DataFrame, grams: Column, by: tuple[str, ...] = ()) -> DataFrame:
+def _counted(df: DataFrame, grams: Column, by: tuple[str, ...] = (), among: DataFrame | None = None) -> DataFrame:
     # the outer form: the plain one adds a filter that computes the array twice
+    listed = df.select(*by, F.inline_outer(_flagged(grams))).where(F.col("feature").isNotNull())
+    if among is not None:
+        listed = listed.join(among.select("feature"), "feature", "left_semi")
     return (
-        df.select(*by, F.inline_outer(_flagged(grams)))
-        .where(F.col("feature").isNotNull())
-        .groupBy(*by, "feature")
+        listed.groupBy(*by, "feature")
         .agg(F.count(F.lit(1)).alias("frequency"), F.sum("first").alias("doc_frequency"))
     )
 
@@ -52,15 +53,19 @@ def count_ngrams(
     ngram_range: tuple[int, int] = (1, 5),
     stop_words: Iterable[str] = ENGLISH,
     by: tuple[str, ...] = (),
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """Occurrences and document frequency per n-gram (and per ``by`` columns).
 
+    ``among`` (feature) names the n-grams to count.  As a written table that
+    Spark broadcasts by its size, it drops the others before the shuffle.
+
     Each row's n-grams are sorted inside the row and the first of every run of
     equal ones is flagged, so one partially aggregated shuffle gives both
     numbers, with no (document, n-gram) shuffle before it.
     """
     lo, hi = ngram_range
-    return _counted(df, ngrams(tokenize(F.col(text_col), stop_words), lo, hi), by)
+    return _counted(df, ngrams(tokenize(F.col(text_col), stop_words), lo, hi), by, among)
 
 
 class _Bitmap:

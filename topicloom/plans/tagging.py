@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.operators.encode import encode_texts
 from topicloom.operators.nearest import assign_nearest, top_n_categories
-from topicloom.operators.outline import OUTLIER_PATH
+from topicloom.operators.outline import OUTLIER_PATH, category_table, outline_table
 from topicloom.operators.percentile import exact_percentile
 from topicloom.plans.clustering import cluster_topics
 from topicloom.runtime import materialize
@@ -61,21 +62,56 @@ def rescore_categories(
     )
 
 
+def read_outline(outline: DataFrame | str, spark: SparkSession) -> DataFrame:
+    """category_id, path and path_text of an outline given as text or as a table of texts."""
+    if isinstance(outline, str):
+        outline = spark.createDataFrame([(outline,)], "outline string")
+    return category_table(outline_table(outline))
+
+
+def encode_with_categories(
+    df: DataFrame, categories: DataFrame, match_col: str = "query", vector_col: str = "embedding",
+    encoder: Callable | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows and categories with the vectors of their texts, all from one encoder.
+
+    A row with a null text has a null vector.
+    """
+    texts = categories.select(F.col("path_text").alias("_text")).unionByName(
+        df.select(F.col(match_col).alias("_text")).dropna()
+    )
+    vectors = materialize(encode_texts(texts.distinct(), "_text", encoder), "text-vectors")
+    named = vectors.withColumnRenamed("embedding", vector_col)
+    placed = categories.join(vectors, categories["path_text"] == vectors["_text"]).drop("_text")
+    rows = df.join(named, df[match_col] == named["_text"], "left").drop("_text")
+    return rows, materialize(placed, "categories")
+
+
 def add_categories(
     df: DataFrame,
-    categories: DataFrame,
+    categories: DataFrame | str,
     match_col: str = "query",
     vector_col: str = "embedding",
     cross_encoded: bool = False,
+    encoder: Callable | None = None,
     **rescoring,
 ) -> DataFrame:
     """Add ``category_path``: the path of each row's category.
 
-    ``categories`` has category_id, path, path_text, embedding.  Rows without a
-    usable vector, and outliers of the rescored form, get the outlier path.
+    ``categories`` is an outline text, or has category_id, path, path_text and
+    embedding.  Without vectors on either side, both are encoded by ``encoder``
+    (see ``encode_texts``).  Rows without a usable vector, and outliers of the
+    rescored form, get the outlier path.
     """
     if rescoring and not cross_encoded:
         raise TypeError(f"only used with cross_encoded: {', '.join(rescoring)}")
+    columns = df.columns
+    if isinstance(categories, str):
+        categories = materialize(read_outline(categories, df.sparkSession), "outline")
+    if vector_col not in columns or "embedding" not in categories.columns:
+        bare = df.drop(vector_col)
+        df, categories = encode_with_categories(bare, categories.drop("embedding"), match_col, vector_col, encoder)
+        columns = bare.columns
     if cross_encoded:
         found = rescore_categories(
             df, categories, match_col=match_col, vector_col=vector_col, **rescoring
@@ -85,7 +121,7 @@ def add_categories(
         tagged = assign_nearest(df, categories, vector_col, "embedding").drop("similarity")
     paths = categories.select("category_id", F.col("path").alias("category_path"))
     return tagged.join(paths, "category_id", "left").select(
-        *df.columns, F.coalesce("category_path", F.lit(OUTLIER_PATH)).alias("category_path")
+        *columns, F.coalesce("category_path", F.lit(OUTLIER_PATH)).alias("category_path")
     )
 
 
@@ -98,8 +134,12 @@ def add_categories_clustered(
     min_cluster_size: int = 5,
     min_samples: int | None = 2,
     reduction_dims: int | float = 2,
+    **clustering,
 ) -> DataFrame:
-    """Add ``category_path``: the category nearest to each row's cluster."""
+    """Add ``category_path``: the category nearest to each row's cluster.
+
+    Further options go to ``cluster_topics``.
+    """
     out = cluster_topics(
         df,
         id_col=id_col,
@@ -110,6 +150,7 @@ def add_categories_clustered(
         reduction_dims=reduction_dims,
         categories=categories,
         keep_outliers=True,
+        **clustering,
     )
     paths = categories.groupBy(F.col("path_text").alias("text_label")).agg(
         F.min("path").alias("category_path")

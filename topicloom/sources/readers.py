@@ -47,7 +47,8 @@ def read_queries(
     types; volumes are cast during cleaning.  ``multi_line`` allows line breaks
     inside quotes; such files are read by one task each.  For a property address pass the
     exported rows as ``performance`` (columns property, date, query, page,
-    clicks, impressions).
+    clicks, impressions).  An address without rows of its own is searched for
+    in the others; one hit is used, none or several raise.
     """
     kind = kind or source_kind(source)
     if kind == "table":
@@ -60,11 +61,22 @@ def read_queries(
     if kind == "performance":
         if performance is None:
             raise ValueError("pass the exported daily rows as performance=")
-        rows = performance.where(F.col("property") == source)
-        return performance_rollup(rows, days, end_date)
+        name = _known_property(performance, source)
+        return performance_rollup(performance.where(F.col("property") == name), days, end_date)
     raise ValueError(f"unknown source kind: {kind}")
 
 
+def _known_property(performance: DataFrame, source: str) -> str:
+    """``source`` if it has rows, else the one property whose address holds it."""
+    if performance.where(F.col("property") == source).limit(1).count():
+        return source
+    holds = performance.where(F.contains("property", F.lit(source))).select("property").distinct()
+    found = [r["property"] for r in holds.orderBy("property").limit(10).collect()]
+    if len(found) != 1:
+        raise ValueError(f"no property {source}" if not found else f"{source} may be {', '.join(found)}")
+    return found[0]
+
+
 def performance_rollup(daily: DataFrame, days: int = 30, end_date: str | None = None) -> DataFrame:
     """Clicks and impressions per query and page over the last ``days`` days."""
     end = F.to_date(F.lit(end_date)) if end_date else F.current_date()
