@@ -92,6 +92,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_embedding_dedup": f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.COSINE}),
+reach(node, root) USING KEY (node) AS (
+  SELECT DISTINCT a, a FROM links
+  UNION
+  SELECT l.b, min(r.root) FROM reach r JOIN links l ON l.a = r.node JOIN recurring.reach o ON o.node = l.b
+  WHERE r.root < o.root GROUP BY l.b),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id,
+       coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN degree ON a = vec_id LEFT JOIN reach ON node = vec_id""",
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
