@@ -196,6 +196,14 @@ def test_shards(spark):
     assert sharding.shard(docs.limit(0), tree).count() == 0
 
 
+def test_rows_without_id_are_parted_by_text(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 10)
+    docs = spark.range(200).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 150).alias("text"))
+    placed = sharding.shard(docs, sharding.balanced_tree(40))
+    assert placed.select("shard").distinct().count() == 1
+    assert sorted(r["slot"] for r in placed.collect()) == list(range(200))
+
+
 def test_movement_stays_in_the_subtree_that_changes(spark):
     tree = [[[(0, 1.0), (1, 2.0)], [(2, 1.0)]], [[(3, 1.0)], [(4, 0.0), (5, 3.0)]]]
     other = [[[(0, 1.0), (1, 2.0)], [(2, 1.0)]], [[(3, 1.0)], [(4, 0.0), (5, 6.0)]]]

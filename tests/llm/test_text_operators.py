@@ -185,3 +185,13 @@ def test_contaminated_in_several_passes(spark, monkeypatch):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
     assert {(r[0], r[1]) for r in decontaminate.contaminated(docs, benchmark).collect()} == {(i, i) for i in range(10)}
     assert [r[0] for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [10]
+
+
+def test_items_of_equal_text_are_reported_each(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, f"so {text} it"), (1, text), (None, text)], "item_id long, text string")
+    benchmark = spark.createDataFrame([("a", text), ("b", text), ("b", text), (None, text), ("c", None)], "item_id string, text string")
+    rows = decontaminate.contaminated(docs.withColumnRenamed("item_id", "m"), benchmark, id_col="m").collect()
+    assert sorted(map(str, (r["m"] for r in rows))) == ["1"] * 8 + ["None"] * 4
+    assert sorted(map(str, (r["item_id"] for r in rows))) == ["None"] * 3 + ["a"] * 3 + ["b"] * 6
+    assert decontaminate.drop_contaminated(docs, benchmark).count() == 0

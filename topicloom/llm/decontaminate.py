@@ -11,12 +11,13 @@ shingles, each weighing as often as it occurs, must reach ``SIMILARITY``.
 A window can only reach that similarity if at least 2t/(1+t) of its shingles
 occur in some item.  Windows below that share are not fingerprinted; this drops
 no match.  Texts are read whole and never shuffled; the items' tables go to
-every worker.  A benchmark of more than ``ITEMS_AT_ONCE`` items or
-``CHARS_AT_ONCE`` characters is searched in several passes.
+every worker.  Items of equal text are searched once.  A benchmark of more than
+``ITEMS_AT_ONCE`` texts or ``CHARS_AT_ONCE`` characters is searched in several
+passes.
 
 Words are runs of word characters in lower case.  An item of fewer than five
 words is one shingle.  Null and empty items match nothing, and null or empty
-texts have no windows.  Items with the same id, or none, are searched each;
+texts have no windows.  Items with the same id, or none, are reported each;
 documents with null or repeated ids too, row by row.
 """
 
@@ -25,15 +26,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
-from topicloom.llm.common import pack
+from topicloom.llm.common import broadcast_if_small, pack
+from topicloom.runtime import materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -42,7 +45,7 @@ RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEMS_AT_ONCE = 20_000
 CHARS_AT_ONCE = 16_000_000
 
-MATCHES = "array<struct<item:int,start_word:int,n_words:int,similarity:double>>"
+MATCHES = "array<struct<item:long,start_word:int,n_words:int,similarity:double>>"
 FIND_WORDS = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,13 +76,13 @@ class _Vocabulary(dict):
 class Index:
     """The items of one pass: their shingles, fingerprints and block tables."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary = _Vocabulary()
         self.numbers, self.shingles, prints = [], [], []
         self.by_length: dict[int, list[int]] = defaultdict(list)
         codes: dict[int, set[int]] = defaultdict(set)
         for number, text in items:
-            words = words_of(text or "")
+            words = words_of(text)
             if not words:
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
@@ -175,7 +178,7 @@ class Index:
 _indexes: dict[str, Index] = {}
 
 
-def match_column(text_col: str, items: list[tuple[int, str | None]], spark) -> Column:
+def match_column(text_col: str, items: list[tuple[int, str]], spark) -> Column:
     """Matches of each row's text among ``items`` (number, text), a list of bounded size."""
     name = xxhash.xxh64_hexdigest(repr(items))
     shared = spark.sparkContext.broadcast(items)
@@ -191,31 +194,35 @@ def match_column(text_col: str, items: list[tuple[int, str | None]], spark) -> C
     return find(F.col(text_col))
 
 
-def item_passes(benchmark: DataFrame, item_text: str = "text") -> list[DataFrame]:
-    """The benchmark in slices that fit the limits of one pass."""
-    row = benchmark.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(item_text)).alias("chars")).first()
-    n = max(1, math.ceil(row["n"] / ITEMS_AT_ONCE * 1.5), math.ceil((row["chars"] or 0) / CHARS_AT_ONCE * 1.5))
-    if row["n"] <= ITEMS_AT_ONCE and (row["chars"] or 0) <= CHARS_AT_ONCE:
-        return [benchmark]
-    return [benchmark.where(F.pmod(F.xxhash64(item_text), F.lit(n)) == i) for i in range(n)]
+def numbered_items(benchmark: DataFrame, item_text: str = "text") -> DataFrame:
+    """number and text of each distinct text of the benchmark, as a written table."""
+    texts = benchmark.select(F.col(item_text).alias("text")).where("text <> ''").distinct()
+    return materialize(texts.withColumn("number", F.monotonically_increasing_id()), "items")
+
+
+def item_passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Numbered texts in slices that fit the limits of one pass."""
+    row = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    load = max(row["n"] / ITEMS_AT_ONCE, (row["chars"] or 0) / CHARS_AT_ONCE)
+    slices = 1 if load <= 1 else math.ceil(load * 1.5)
+    for i in range(slices):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == i)
+        yield [(r["number"], r["text"]) for r in part.orderBy("text").collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item_id, start_word, n_words and similarity: the best window for each item in each row."""
-    out = None
-    for part in item_passes(benchmark, item_text):
-        rows = part.select(item_id, item_text).orderBy(item_text, item_id).collect()
-        found = docs.select(F.col(id_col), F.explode(match_column(text_col, [(i, r[1]) for i, r in enumerate(rows)], docs.sparkSession)).alias("m"))
-        kind = benchmark.schema[item_id].dataType
-        ids = F.array(*[F.lit(r[0]) for r in rows]).cast(ArrayType(kind))
-        hits = found.select(id_col, F.get(ids, F.col("m.item")).alias(item_id), "m.start_word", "m.n_words", "m.similarity")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    items = numbered_items(benchmark, item_text)
+    passes = (docs.select(F.col(id_col).alias("_doc"), F.explode(match_column(text_col, part, docs.sparkSession)).alias("m")) for part in item_passes(items))
+    found = reduce(DataFrame.unionByName, passes)
+    named = benchmark.select(F.col(item_text).alias("text"), F.col(item_id).alias("_item")).join(items, "text")
+    named = materialize(named.select("number", "_item"), "item-ids")
+    hits = found.join(broadcast_if_small(named, 128), found["m.item"] == named["number"])
+    return hits.select(F.col("_doc").alias(id_col), F.col("_item").alias(item_id), "m.start_word", "m.n_words", "m.similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text") -> DataFrame:
     """The rows whose text holds no benchmark item."""
-    for part in item_passes(benchmark, item_text):
-        items = [(i, r[0]) for i, r in enumerate(part.select(item_text).distinct().orderBy(item_text).collect())]
-        docs = pack(docs, found=match_column(text_col, items, docs.sparkSession)).where(F.size("found") == 0).select("row.*")
+    for part in item_passes(numbered_items(benchmark, item_text)):
+        docs = pack(docs, found=match_column(text_col, part, docs.sparkSession)).where(F.size("found") == 0).select("row.*")
     return docs

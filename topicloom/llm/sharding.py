@@ -10,9 +10,10 @@ weight changes, rows move only into it or out of it, all others stay.
 move only into the new shard: the ``key`` law, by which key and tree decide.
 
 Slots number a shard's rows from 0 without gaps: each shard is cut into parts
-by a hash of the columns beside the text, parts are counted (partial sums),
-rows are numbered in their part and moved up by the counts before it.  No task
-holds a whole shard.
+by a hash of the columns and the text's checksum, parts are counted (partial
+sums), rows are numbered in their part and moved up by the counts before it.  No
+task holds a whole shard; rows meet in a part without limit only if all of that
+is equal.
 
 Defined cases: a null key is a key of its own.  Null text has no bytes and the
 checksum of the empty string.  Repeated rows share the shard and get slots of
@@ -87,16 +88,15 @@ def shard(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
 
     grown_shard is the shard under ``grown``, null without it.
     """
-    beside = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    beside = [F.col(f"`row`.`{c}`") for c in docs.columns if c != text_col]
     parts = 1 + docs.select(id_col).count() // PART_ROWS
-    keyed = pack(
+    sized = pack(
         docs,
         key=null_key(id_col),
         size=F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_OVERHEAD,
         text_crc32=F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")),
-        part=F.pmod(F.xxhash64(F.lit(parts), *beside), F.lit(parts)).cast("int"),
-        order=F.xxhash64(*beside),
     )
+    keyed = sized.withColumn("order", F.xxhash64("text_crc32", *beside)).withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts)).cast("int"))
     placed = place(keyed, tree, "key", "shard")
     if grown:
         placed = place(placed, grown, "key", "grown_shard")
@@ -105,6 +105,6 @@ def shard(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("shard", "part").orderBy("order", "text_crc32")
+    own = Window.partitionBy("shard", "part").orderBy("order")
     numbered = placed.withColumn("at", F.row_number().over(own)).join(first, ["shard", "part"])
     return numbered.select("row", "size", "text_crc32", "shard", (F.col("first") + F.col("at") - 1).alias("slot"), "grown_shard")
