@@ -7,6 +7,7 @@ from topicloom.operators.cluster import (
     default_min_samples, density_cluster, estimate_epsilon, hierarchical_cluster, recluster_outliers, reduce_vectors,
     ward_merges,
 )
+from topicloom.operators import cluster
 from topicloom.operators.components import connected_components
 from topicloom.operators.encode import encode_texts
 from topicloom.operators.enrich import collect_entities, enrich_with_callable, tag_entities
@@ -117,6 +118,40 @@ def test_three_separated_groups(spark):
         assert len(out) == 92 and all(r["label"] is not None for r in out)
 
 
+def ward_by_force(x, threshold):
+    """Labels by smallest row: the cheapest pair merges until it costs more than ``threshold``."""
+    sizes, centers, group = np.ones(len(x)), x.astype(float).copy(), np.arange(len(x))
+    while True:
+        gap = np.linalg.norm(centers[:, None] - centers[None], axis=2)
+        with np.errstate(invalid="ignore"):
+            cost = np.sqrt(2 * sizes[:, None] * sizes / (sizes[:, None] + sizes)) * gap
+        cost[(sizes[:, None] == 0) | (sizes == 0) | np.eye(len(x), dtype=bool)] = np.inf
+        a, b = sorted(divmod(int(cost.argmin()), len(x)))
+        if cost[a, b] > threshold:
+            return np.unique(group, return_inverse=True)[1].tolist()
+        centers[a] = (sizes[a] * centers[a] + sizes[b] * centers[b]) / (sizes[a] + sizes[b])
+        sizes[a], sizes[b] = sizes[a] + sizes[b], 0
+        group[group == b] = a
+
+
+@pytest.mark.parametrize("local", [4096, 40])
+def test_ward_finds_more_than_256_groups(spark, monkeypatch, local):
+    monkeypatch.setattr(cluster, "WARD_LOCAL", local)
+    rng = np.random.default_rng(8)
+    spots = rng.permutation(400)[:, None] * [9.0, 0, 0] + rng.normal(0, 0.3, (400, 3))
+    x = np.concatenate([spots, spots + rng.normal(0, 0.1, (400, 3))])
+    got = hierarchical_cluster(table(spark, x), distance_threshold=3.0).toPandas().sort_values("id").label
+    assert got.tolist() == list(range(400)) * 2
+
+
+def test_ward_in_rounds_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "WARD_LOCAL", 60)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(110, 3)), np.ones((15, 3))])
+    got = hierarchical_cluster(table(spark, x), distance_threshold=1.7).toPandas().sort_values("id").label
+    assert got.tolist() == ward_by_force(x, 1.7)
+
+
 def test_ward_merges_against_brute_force():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(14, 3))

@@ -5,23 +5,26 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.vectors import l2_normalize, norm
-from topicloom.operators.centroids import mean_vector
 from topicloom.operators.components import connected_components
-from topicloom.operators.knn import close_pairs_forest, knn_distance_curve, knn_graph
+from topicloom.operators.knn import CellTable, close_pairs_forest, knn_distance_curve, knn_graph
 from topicloom.operators.rank import global_rank, knee_points
-from topicloom.runtime import materialize
+from topicloom.runtime import BROADCAST_BYTES, materialize
 
 RANDOM_SEED = 42
 DEFAULT_EPSILON = 0.5
-#: Most groups that Ward merging starts from.
-WARD_LEAVES = 256
+#: Groups that Ward merging takes to the driver; more are merged round by round in Spark.
+WARD_LOCAL = 4096
+WARD_STRIPE = 512
+WARD_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def default_min_samples(min_cluster_size: int) -> int:
@@ -138,52 +141,121 @@ def _attach(df: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Da
 
 
 def ward_merges(sizes: np.ndarray, centers: np.ndarray, threshold: float) -> np.ndarray:
-    """Group number of each centre after all Ward merges that cost at most ``threshold``."""
+    """Group number of each centre after all Ward merges that cost at most ``threshold``.
+
+    A chain of nearest neighbours ends in a pair that are each other's nearest;
+    Ward merging may take such pairs in any order.  A group whose nearest one
+    costs more than the threshold takes no further part.
+    """
     n = len(sizes)
     group, sizes, centers = np.arange(n), sizes.astype(float).copy(), centers.astype(float).copy()
-    cost = np.full((n, n), np.inf)
-
-    def update(i: int, live: np.ndarray) -> None:
-        apart = np.linalg.norm(centers[live] - centers[i], axis=1)
-        cost[i, live] = cost[live, i] = np.sqrt(2 * sizes[i] * sizes[live] / (sizes[i] + sizes[live])) * apart
-        cost[i, i] = np.inf
-
-    for i in range(n):
-        update(i, np.arange(n))
-    alive = np.ones(n, dtype=bool)
-    for _ in range(n - 1):
-        a, b = divmod(int(cost.argmin()), n)
-        if cost[a, b] > threshold:
-            break
-        centers[a] = (sizes[a] * centers[a] + sizes[b] * centers[b]) / (sizes[a] + sizes[b])
-        sizes[a] += sizes[b]
-        group[group == b] = a
-        alive[b] = False
-        cost[b, :] = cost[:, b] = np.inf
-        update(a, np.flatnonzero(alive))
+    alive, chain = np.ones(n, dtype=bool), []
+    while alive.any():
+        a = chain[-1] if chain else int(alive.argmax())
+        gaps = centers - centers[a]
+        cost = np.sqrt(2 * sizes[a] * sizes / (sizes[a] + sizes) * np.einsum("ij,ij->i", gaps, gaps))
+        cost[~alive] = cost[a] = np.inf
+        b = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[b]:
+            b = chain[-2]
+        if not cost[b] <= threshold:
+            alive[a], chain = False, chain[:-1]
+        elif len(chain) > 1 and b == chain[-2]:
+            centers[a] = (sizes[a] * centers[a] + sizes[b] * centers[b]) / (sizes[a] + sizes[b])
+            sizes[a] += sizes[b]
+            group[group == b] = a
+            alive[b], chain = False, chain[:-2]
+        else:
+            chain = [*(chain or [a]), b]
     return np.unique(group, return_inverse=True)[1]
 
 
+def _nearest_groups(groups: DataFrame, threshold: float) -> DataFrame:
+    """id, other, cost: the nearest group by Ward cost of each group that has one within ``threshold``.
+
+    Costs are no less than distances, so cells farther apart are not visited.
+    """
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": [], "other": [], "cost": [], "tie": []})
+        sides = [(p[f"id{k}"].to_numpy(), np.stack(p[f"vec{k}"].to_list()), p[f"weight{k}"].to_numpy(float)) for p, k in ((left, ""), (right, "2"))]
+        (ids, x, n), (others, y, m) = sides
+        found = []
+        for at in range(0, len(ids), WARD_STRIPE):
+            own = slice(at, at + WARD_STRIPE)
+            squared = (x[own] ** 2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * (x[own] @ y.T)
+            cost = np.sqrt(np.maximum(squared, 0) * (2 * n[own, None] * m[None] / (n[own, None] + m[None])))
+            cost[ids[own, None] == others[None]] = np.inf
+            for costs, mine, theirs in ((cost, ids[own], others), (cost.T, others, ids[own])):
+                low = costs.min(axis=1)
+                r, c = np.nonzero((costs == low[:, None]) & (low <= threshold)[:, None])
+                first, second = np.minimum(mine[r], theirs[c]).astype(np.uint64), np.maximum(mine[r], theirs[c]).astype(np.uint64)
+                tie = (((first * WARD_MIX) ^ second) * WARD_MIX >> np.uint64(1)).astype(np.int64)
+                order = np.lexsort((tie, r))
+                order = order[np.unique(r[order], return_index=True)[1]]
+                found.append(pd.DataFrame({"id": mine[r[order]], "other": theirs[c[order]], "cost": low[r[order]], "tie": tie[order]}))
+        return pd.concat(found)
+
+    table = CellTable(groups, "id", "vec", None)
+    weights = groups.select("id", F.col("n").alias("weight"))
+    pairs = table.pairs(None, threshold, symmetric=True)
+    found = table.visit(pairs, nearest, "id long, other long, cost double, tie long", weights=weights)
+    best = found.groupBy("id").agg(F.min(F.struct("cost", "tie", "other")).alias("b"))
+    return best.select("id", "b.other", "b.cost")
+
+
+def ward_groups(nodes: DataFrame, threshold: float) -> DataFrame:
+    """id, component: the smallest id of each node's group; ``nodes`` has id, n and vec.
+
+    In each round every group finds its nearest one, and all pairs that are
+    each other's nearest merge.  Groups with none within ``threshold`` are
+    complete.  What fits ``WARD_LOCAL`` rows is merged on the driver.
+    """
+    groups, steps = materialize(nodes.select("id", "n", "vec"), "groups"), []
+    while groups.count() > WARD_LOCAL:
+        near = materialize(_nearest_groups(groups, threshold), "nearest")
+        back = near.select(F.col("id").alias("other"), F.col("other").alias("_back"))
+        pairs = near.join(back, "other").where("_back = id AND id < other").select("id", "other")
+        pairs = materialize(pairs, "merges")
+        if not pairs.limit(1).count():  # rounding hides the pair of least cost, or there is none
+            pairs = near.orderBy("cost", "id").limit(1).select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+        lost = pairs.select(F.col("other").alias("id"), F.col("id").alias("_into"))
+        step = near.select("id").join(lost, "id", "left").select("id", F.coalesce("_into", "id").alias("into"))
+        steps.append(materialize(step, "step"))
+        center = vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("n").cast("double")))
+        merged = groups.join(steps[-1], "id").groupBy("into").agg(F.sum("n").alias("n"), center.alias("vec"))
+        groups = materialize(merged.select(F.col("into").alias("id"), "n", "vec"), "groups")
+    rest = groups.orderBy("id").collect()
+    number = ward_merges(np.array([r["n"] for r in rest]), np.array([r["vec"] for r in rest]), threshold) if rest else []
+    first: dict[int, int] = {}
+    named = [(r["id"], first.setdefault(int(g), r["id"])) for r, g in zip(rest, number)]
+    out = nodes.sparkSession.createDataFrame(named, "into long, component long")
+    for step in reversed(steps):  # at most two groups of a step go into the same one
+        out = step.join(out, "into", "left").select(F.col("id").alias("into"), F.coalesce("component", "into").alias("component"))
+        out = materialize(out, "named")
+    own = nodes.select(F.col("id").alias("into")).join(out, "into", "left")
+    return own.select(F.col("into").alias("id"), F.coalesce("component", "into").alias("component"))
+
+
 def ward_cluster(
     df: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """Groups of least variance growth: merging goes on while its Ward cost is at most ``threshold``.
 
-    Rows are first split top-down into at most ``WARD_LEAVES`` small groups;
-    their sizes and centres, a table of that bounded size, are merged exactly.
-    Groups are numbered by their smallest id.
+    The cut is exact and gives any number of groups, numbered by their smallest
+    id.  Rows of equal vectors start as one group.
     """
     base = df.drop(label_col) if label_col in df.columns else df
-    ready = base.withColumn("_in", array_to_vector(F.col(vector_col).cast("array<double>")))
-    split = BisectingKMeans(k=WARD_LEAVES, seed=RANDOM_SEED, featuresCol="_in", predictionCol="_leaf")
-    leaves = materialize(split.fit(ready).transform(ready).drop("_in"), "leaves")
-    sums = leaves.groupBy("_leaf").agg(
-        F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"), mean_vector(vector_col).alias("center")
-    )
-    found = sums.orderBy("first").collect()
-    groups = ward_merges(np.array([r["n"] for r in found]), np.array([r["center"] for r in found]), threshold)
-    names = df.sparkSession.createDataFrame([(r["_leaf"], int(g)) for r, g in zip(found, groups)], f"_leaf int, {label_col} int")
-    return leaves.join(F.broadcast(names), "_leaf").drop("_leaf")
+    stored = materialize(base.withColumn("_vec", F.col(vector_col).cast("array<double>")), "rows")
+    distinct = stored.groupBy("_vec").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("_first"))
+    nodes = materialize(global_rank(distinct, [F.asc("_first"), F.asc("_vec")], "_node"), "nodes")
+    found = ward_groups(nodes.select(F.col("_node").cast("long").alias("id"), "n", F.col("_vec").alias("vec")), threshold)
+    labels = _dense_labels(materialize(found.select(F.col("id").alias("node"), "component"), "members"), 1)
+    names = nodes.join(labels, nodes["_node"] == labels["node"]).select("_vec", F.col("label").alias(label_col))
+    names = materialize(names, "ward-labels")
+    size = names.agg(F.sum(F.size("_vec") * 8 + 64).alias("b")).first()["b"] or 0
+    return stored.join(F.broadcast(names) if size < BROADCAST_BYTES else names, "_vec").drop("_vec")
 
 
 def hierarchical_cluster(
