@@ -178,6 +178,22 @@ def test_contaminated_windows(spark):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_texts_shorter_than_the_item(spark):
+    """A text of fewer words than the item is one window; similarity from all its shingles."""
+    rng = random.Random(6)
+    item = [f"w{i}" for i in rng.sample(range(500), 59)]
+    texts = [item[:-1], item[1:], item[:30] + item[31:], item[:52], item[:45], item[:20], item[:3], item[5:] + item[:4], ["no"] * 58]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    alike = [len(shingles(t) & shingles(item)) / len(shingles(t) | shingles(item)) for t in texts]
+    want = {i: s for i, s in enumerate(alike) if s >= 0.8}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    rows = decontaminate.contaminated(docs, benchmark).collect()
+    assert {r["doc_id"]: r["similarity"] for r in rows} == pytest.approx(want) and want.keys() >= {0, 1, 2, 3}
+    assert all(r["start_word"] == 0 and r["n_words"] == len(texts[r["doc_id"]]) for r in rows)
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == set(range(len(texts))) - want.keys()
+
+
 def test_contaminated_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 3)
     items = [f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}" for i in range(10)]

@@ -2,15 +2,15 @@
 
 For each item length (in words) a document's windows of that many words are
 fingerprinted: 64-bit SimHash of five-word shingles, from one running sum of
-hash bits.  Fingerprints are cut into eight 8-bit blocks.  Two within
+hash bits; a text of fewer words than the item is one window.  Fingerprints are cut into eight 8-bit blocks.  Two within
 ``RADIUS`` = 23 bits differ in at most two bits in one block, so a table of all
 block values within two bits of an item's finds every such pair.  Candidates
 within the radius are then verified exactly: weighted Jaccard similarity of the
 shingles, each weighing as often as it occurs, must reach ``SIMILARITY``.
 
-A window can only reach that similarity if at least 2t/(1+t) of its shingles
-occur in some item.  Windows below that share are not fingerprinted; this drops
-no match.  Texts are read whole and never shuffled; the items' tables go to
+A window can only reach that similarity if at least t/(1+t) of its and the
+item's shingles together occur in some item.  Windows below that number are not
+fingerprinted; this drops no match.  Texts are read whole and never shuffled; the items' tables go to
 every worker.  Items of equal text are searched once.  A benchmark of more than
 ``ITEMS_AT_ONCE`` texts or ``CHARS_AT_ONCE`` characters is searched in several
 passes.
@@ -149,11 +149,14 @@ class Index:
                 known[width] = np.cumsum(flags)
         for length in self.by_length:
             width = min(SHINGLE_WORDS, length)
-            size = length - width + 1
-            if width not in known or len(words) < length:
+            if width not in known:
                 continue
             sums = known[width]
-            least = math.ceil(2 * SIMILARITY * size / (1 + SIMILARITY) - 1e-9)
+            whole = length - width + 1
+            size = min(whole, len(sums) - 1)
+            least = math.ceil(SIMILARITY * (size + whole) / (1 + SIMILARITY) - 1e-9)
+            if least > size:
+                continue
             starts = np.flatnonzero(sums[size:] - sums[: len(sums) - size] >= least)
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
                 if len(part):
@@ -170,9 +173,9 @@ class Index:
         for w, i in self.candidates(_prints(sums[begin + size] - sums[begin], size), length):
             a = int(begin[w])
             common = (Counter(hashes[a : a + size].tolist()) & self.shingles[i]).total()
-            similarity = common / (2 * size - common)
+            similarity = common / (size + length - width + 1 - common)
             if similarity >= SIMILARITY and similarity > best.get(i, {"similarity": 0})["similarity"]:
-                best[i] = {"item": self.numbers[i], "start_word": first + a, "n_words": length, "similarity": similarity}
+                best[i] = {"item": self.numbers[i], "start_word": first + a, "n_words": size + width - 1, "similarity": similarity}
 
 
 _indexes: dict[str, Index] = {}
