@@ -97,6 +97,13 @@ def test_guessable_values_are_not(text):
     assert [s for s in secrets.spans_of(text)[0] if s[1] == 3] == []
 
 
+@pytest.mark.parametrize("value", ["Tr0ub4dor&3x", "Vq7#kz9!mw2x", "xkqzvtpwmrghzj", "Xkqzvtpwmrghzj", "827364519046"])
+@pytest.mark.parametrize("text", ["the password is {} ok", "pwd: {}"])
+def test_every_value_is_scored(text, value):
+    given = text.format(value)
+    assert [given[s:e] for s, k, e in secrets.spans_of(given)[0] if k == 3] == [value]
+
+
 def test_guess_cost_prefers_patterns():
     cost = secrets.guess_cost
     assert cost("password") < 1.1 and cost("P@ssw0rd") < 2 and cost("") == 0

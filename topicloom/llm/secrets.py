@@ -4,7 +4,8 @@ Three patterns give base spans: assignments to credential names, access keys
 and long hex runs.  Values in a wider credential context (other names, "is" or
 "to" as the link, any characters) are segmented into dictionary words, dates,
 repeats, keyboard walks and brute-force characters at the least total cost in
-log10 guesses; a value that costs at least ``MIN_GUESSES`` becomes a further
+log10 guesses, but for values of letters only after a bare space and a few
+words of prose; a value that costs at least ``MIN_GUESSES`` becomes a further
 span of kind ``guess``, unless a base span has it.  Base spans always stay.
 
 Offsets are code points, ends exclusive.  Null text counts as empty and has no
@@ -56,17 +57,18 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CONTEXT = re.compile(
     r"(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|(?:access|private|secret)[_ -]key"
-    r"|credentials?|bearer)[\"'`]?(?:\x20*(?:[:=]|=>|->)\x20*|\x20+(?:is|was|to)\x20+(?:[:=]\x20*)?|\x20+)[\"'`]?([^\s\"'`<>,;]+)",
+    r"|credentials?|bearer)[\"'`]?(\x20*(?:[:=]|=>|->)\x20*|\x20+(?:is|was|to)\x20+(?:[:=]\x20*)?|\x20+)[\"'`]?([^\s\"'`<>,;]+)",
     re.IGNORECASE | re.ASCII,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "bearer")
+# Words of prose after "password is" or "secret to", no values.
+PROSE = set("""
+required incorrect invalid expired protected necessary mandatory optional accepted rejected encrypted available unavailable
+something everything anything everyone happiness becoming remember confirm continue complete correct generated unlocked
+""".split())
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d)")
 
 
-def _classes(value: str) -> int:
-    return sum(map(any, ((c.islower() for c in value), (c.isupper() for c in value), (c.isdigit() for c in value), (not c.isalnum() for c in value))))
-
-
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation of ``value``."""
     n = len(value)
@@ -122,9 +124,10 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], float]:
         base = sorted(found)
         starts, ends = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?)]}")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) < MIN_LENGTH or _classes(value) < 2 or value[:1].isupper() and value[1:].islower():
+            value = m[2].rstrip(".!?)]}")
+            start, end = m.start(2), m.start(2) + len(value)
+            link = m[1].strip()
+            if len(value) < MIN_LENGTH or value.isalpha() and (not link or link.isalpha() and value.lower() in PROSE):
                 continue
             if ends[bisect_right(starts, start)] >= end:
                 continue  # a base span has it
