@@ -104,6 +104,21 @@ def test_every_value_is_scored(text, value):
     assert [given[s:e] for s, k, e in secrets.spans_of(given)[0] if k == 3] == [value]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["secret key: {}", "my secret password is {}", "password is: {}", "pass phrase: {}", "secret passphrase = {}", "the token secret pwd {}",
+     "pass code was={}", "password is secret: {}", "secret=password {}", "password:api key -> '{}'"],
+)
+def test_contexts_behind_contexts(text):
+    given = text.format("Vq7#kz9!mw2x")
+    assert [given[s:e] for s, k, e in secrets.spans_of(given)[0] if k == 3] == ["Vq7#kz9!mw2x"]
+
+
+def test_many_contexts_in_one_value():
+    spans = secrets.spans_of("pwd:" + "token=pass:" * 9000 + "x")[0]
+    assert spans and max(e for _, _, e in spans) > 99000
+
+
 def test_guess_cost_prefers_patterns():
     cost = secrets.guess_cost
     assert cost("password") < 1.1 and cost("P@ssw0rd") < 2 and cost("") == 0

@@ -5,7 +5,7 @@ and long hex runs.  Values in a wider credential context (other names, "is" or
 "to" as the link, any characters) are segmented into dictionary words, dates,
 repeats, keyboard walks and brute-force characters at the least total cost in
 log10 guesses, but for values of letters only after a bare space and a few
-words of prose; a value that costs at least ``MIN_GUESSES`` becomes a further
+words of prose.  A context may begin inside a value.  A value that costs at least ``MIN_GUESSES`` becomes a further
 span of kind ``guess``, unless a base span has it.  Base spans always stay.
 
 Offsets are code points, ends exclusive.  Null text counts as empty and has no
@@ -55,11 +55,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+# Longer names come first.
 CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|(?:access|private|secret)[_ -]key"
-    r"|credentials?|bearer)[\"'`]?(\x20*(?:[:=]|=>|->)\x20*|\x20+(?:is|was|to)\x20+(?:[:=]\x20*)?|\x20+)[\"'`]?([^\s\"'`<>,;]+)",
+    r"(?<![A-Za-z0-9])(?:(?:api|access|private|secret)[_ -]?key|pass[_ -]?(?:word|wd|phrase|code)|pass|pwd|secret|token"
+    r"|credentials?|bearer)[\"'`]?(\x20*(?:[:=]|=>|->)\x20*|\x20+(?:is|was|to)(?:\x20*[:=]\x20*|\x20+)|\x20+)[\"'`]?(?=[^\s\"'`<>,;])",
     re.IGNORECASE | re.ASCII,
 )
+VALUE_END = re.compile(r"[\s\"'`<>,;]|\Z", re.ASCII)
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "api", "key", "credential", "bearer")
 # Words of prose after "password is" or "secret to", no values.
 PROSE = set("""
@@ -123,18 +125,22 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, int]], float]:
     if any(w in low for w in CONTEXT_WORDS):
         base = sorted(found)
         starts, ends = [s for s, _, _ in base], [0, *accumulate((e for _, _, e in base), max)]
-        for m in CONTEXT.finditer(text):
-            value = m[2].rstrip(".!?)]}")
-            start, end = m.start(2), m.start(2) + len(value)
-            link = m[1].strip()
-            if len(value) < MIN_LENGTH or value.isalpha() and (not link or link.isalpha() and value.lower() in PROSE):
+        stop = end = done = 0
+        for m in CONTEXT.finditer(text):  # ends before the value, so a value may hold the next context
+            start, link = m.end(), m[1].strip()
+            if start >= stop:
+                stop = end = VALUE_END.search(text, start).start()
+                while end > start and text[end - 1] in ".!?)]}":
+                    end -= 1
+            if end - start < MIN_LENGTH or end <= done or ends[bisect_right(starts, start)] >= end:
+                continue  # short, or another span has it
+            value = text[start:end]
+            if not link and value.rstrip(":=").isalpha() or link.isalpha() and value.lower() in PROSE:
                 continue
-            if ends[bisect_right(starts, start)] >= end:
-                continue  # a base span has it
             cost = guess_cost(value)
             if cost >= MIN_GUESSES:
                 found.append((start, 3, end))
-                top = max(top, cost)
+                top, done = max(top, cost), end
     return sorted(found), top
 
 
