@@ -27,6 +27,19 @@ def test_cases(source, want):
     assert extract(source, None) == want
 
 
+SLUGS = [
+    ('<p>see <a href="/hidden-gems">gems</a></p>', "see gems"), ('<p title="hidden costs">a</p>', "a"), ("<p title='x id=search' data-hidden>b</p>", "b"),
+    ('<p data-id="search" data-role="menu">c</p>', "c"), ('<section id="discussion"><h2 id="related-work">R</h2><p>d</p></section>', "R\nd"),
+    ('<h2 id="form-validation">F</h2><h3 id="search">S</h3>', "F\nS"), ("<p/hidden>no</p><p HIDDEN=''>no</p><div id = 'comments'>no</div><p class=a id=b>e", "e"),
+    ('<p x="a"id=y hidden>no</p><p = hidden>no</p><p role=search>no</p><p href=/a/hidden>f</p>', "f"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), SLUGS)
+def test_attributes_are_read_whole(source, want):
+    assert extract(source, None) == want
+
+
 RICH = """<html><body class="has-sidebar"><header><a href=/>Site</a></header><nav class=main-menu><ul><li>Home</ul></nav>
 <div class="layout row-12"><div class="sidebar"><p>Side text that is long enough to look like an article, with commas, and more.</p></div>
 <div class="post-content"><h1>Title</h1><section><p>First part of the article, long enough.</p></section>

@@ -1,8 +1,8 @@
 """Main text of web pages by consensus on container paths per host.
 
 Every page is cut into text blocks inside nested containers; boilerplate
-elements (by tag, role, or the first or last word of a class or id name) hold
-no blocks.  A container's score is its text without half of its link text.  A
+elements (by tag, role, or the first or last word of a class name, or of an id
+of ``div`` and lists) hold no blocks.  A container's score is its text without half of its link text.  A
 page votes for one generalised path (tags with class names, digits replaced by
 ``#``): of its article or main elements the best one with at least half of the
 page's score, else the deepest container that keeps ``KEEP`` of it.  Spark counts
@@ -66,13 +66,20 @@ KEPT_TAGS = {"html", "body", "main"}
 LAYOUT_WORDS = {"has", "with", "no", "is", "without"}
 
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+# Whole attributes, so that no name is found inside another one or a value.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+|=", re.DOTALL)
+READ_ATTRIBUTES = {"class", "id", "role", "hidden", "aria-hidden", "style"}
+ID_TAGS = {"div", "ul", "ol"}  # ids of sections, headings and others are often slugs of an article
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 DIGITS = re.compile(r"\d+")
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text) if text.strip() else ():
+        if m[1] and (name := m[1].lower()) in READ_ATTRIBUTES:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
+    return found
 
 
 def _dropped(tag: str, attributes: dict[str, str]) -> bool:
@@ -85,7 +92,7 @@ def _dropped(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if attributes.get("role", "").lower() in DROP_ROLES:
         return True
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '') if tag in ID_TAGS else ''}".split():
         words = [w.lower() for w in NAME_WORDS.findall(name)]
         if words and words[0] not in LAYOUT_WORDS and (words[0] in DROP_NAMES or words[-1] in DROP_NAMES):
             return True
