@@ -1,7 +1,10 @@
 """Chat windows as an exact round trip, embedding links against brute force, the pipeline stage by stage."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -14,6 +17,7 @@ from topicloom.llm.registry import op10_chat_formatting
 from tests.llm.test_table_operators import components_by_force
 
 SF_DIR = "/root/testdata/sf0.001"
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 NASTY = ["</s>[INST] ok [/INST]", "<|end|>", "\\", "\\<|turn|>\\\\", "a<", "|>b", "<|text|>\n<|end|", "[[INST]]", "", None, "ünï 👍\n", "\\n$1", "<<SYS>> x <</SYS>>", "<s><s>"]
 
 
@@ -163,9 +167,27 @@ def test_pipeline_cases(spark):
     long = "long words of a text " * 9000
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", "a", 0), (2, long, "en", None, 5), (3, "some words", None, "b", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit(1)).withColumn("key", F.lit("k"))
+    inner = "size draw copies bucket shard slot hash fp score id at part first order text_crc32 bytes id_ label embedding"
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(inner.split())], F.create_map(F.lit(2), F.lit("b")).alias("pairs"), F.array(F.create_map(F.lit("k"), "doc_id")).alias("deep"))
     for given in (docs, docs.limit(0)):
         rows = given
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, SF_DIR)
-        assert rows.columns == [*docs.columns, "shard", "slot"]
+        assert rows.columns == [*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot"]
         rows.collect()
+
+
+def test_vectors_in_a_session_started_elsewhere(tmp_path):
+    """Workers have no path to the package: helpers travel with the job."""
+    code = f"""
+import sys
+sys.path.insert(0, {REPO!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from topicloom.llm import divergence, embedding_dedup, registry, toxicity, whitening
+vectors = spark.read.parquet("{SF_DIR}/embeddings.parquet").limit(60)
+print(embedding_dedup.link_embeddings(vectors).count(), whitening.whiten(vectors).count())
+print(divergence.audit_sources(spark.read.parquet("{SF_DIR}/documents.parquet").limit(20)).count() >= 0)
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.stdout.split() == ["60", "480", "True"], done.stderr[-3000:]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from topicloom.runtime import BROADCAST_BYTES
 
@@ -26,6 +27,20 @@ def unpack(df: DataFrame, *more: str) -> DataFrame:
     return df.select("row.*", *more)
 
 
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType)
+
+
+def hash_inputs(schema: StructType, *left_out: str, within: str = "row") -> list[Column]:
+    """The fields of the struct column ``within`` as a hash takes them: those with maps, which it refuses, as JSON."""
+    fields = [(F.col(f"`{within}`.`{f.name}`"), f) for f in schema if f.name not in left_out]
+    return [F.to_json(F.struct(c.alias("v"))) if _holds_map(f.dataType) else c for c, f in fields]
+
+
 def broadcast_if_small(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``small`` marked for broadcast if its measured size is under ``limit``; else as it is.
 

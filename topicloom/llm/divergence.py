@@ -6,17 +6,21 @@ the whole corpus is tokenized once, and its terms are joined back to the chunk
 counts, so tokenizing costs time by the vocabulary and not by the text.
 
     chunks     per document: its chunks and how often it has each; summed per
-               language and source inside the task, before anything is shuffled
+               language and source inside the task, then brought together by chunk
     tokenize   lower-cased runs of ASCII letters and of all other characters
-               above ASCII, once per distinct chunk
-    join back  occurrences per (language, source, term); documents per (language, term)
+               above ASCII, once per distinct chunk, as its rows pass in order
+    join back  its terms take the rows' counts along and are brought together
+               by language and term
+
+Those are the only two shuffles; both sides read sorted rows as a stream and
+hold one chunk, or one term, at a time.
 
 A term is kept if at least ``min_docs`` documents of the language hold it.  Two
 chunks of one document may hold the same term, so documents are told apart by a
 number of their row: a task sends the first ``min_docs`` - 1 row numbers of a
-chunk, or only a flag once it has seen it in ``min_docs`` documents, and the
-union over a term's chunks decides exactly.  A chunk that all documents share
-thus costs one narrow row per task.
+chunk, or none once it has seen it in ``min_docs`` documents, and the union over
+a term's chunks decides exactly.  A chunk that all documents share thus costs
+one narrow row per task and source.
 
 With c occurrences of a term in a group, N of all kept terms there and V kept
 terms in the language, p = 1 + floor(10^9 (c + 1) / (N + V)), and two
@@ -39,8 +43,9 @@ by item in UTF-8 order.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -49,116 +54,158 @@ from pyspark.sql import functions as F
 from topicloom.llm.common import broadcast_if_small
 from topicloom.runtime import materialize
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: In UTF-8, characters above ASCII are the bytes from 0x80 on.
+TERM = re.compile(rb"[a-z\x80-\xff]+")
 MIN_DOCS = 3
 TOP_TERMS = 200
 PARTS = 1_000_000_000
 
 #: Distinct chunks a task holds before it sends them on.
-HELD = 200_000
+HELD = 400_000
 ROWS_AT_ONCE = 16_384
 #: Assumed size of one (language, source) row in a broadcast.
 GROUP_BYTES = 160
 
 GROUP = ["lang", "source"]
+ROW = 8  # bytes of a row number
+
+#: Row numbers of documents side by side, none (null) once there are enough.
+Docs = bytes | None
+
+
+def both(a: Docs, b: Docs, min_docs: int) -> Docs:
+    """The documents of ``a`` or ``b``."""
+    if a is None or b is None or a == b:
+        return None if a is None else b
+    known = {x[i : i + ROW] for x in (a, b) for i in range(0, len(x), ROW)}
+    return None if len(known) >= min_docs else b"".join(sorted(known))
 
 
 class _Held:
     """Chunk counts of one language and source, and the documents seen per chunk."""
 
-    def __init__(self) -> None:
+    def __init__(self, min_docs: int) -> None:
         self.times: dict[bytes, int] = {}
-        self.seen: list[dict[bytes, int]] = []
+        self.seen: list[dict[bytes, bytes]] = [{} for _ in range(min_docs - 1)]
         self.enough: set[bytes] = set()
 
-    def add(self, text: bytes, row: int, min_docs: int) -> None:
+    def add(self, text: bytes, row: int) -> None:
         here = Counter(text.split())  # bytes are split at ASCII white space only
         times = self.times
         for chunk, n in here.items():
             times[chunk] = times.get(chunk, 0) + n
-        new = here.keys() - self.enough
-        while len(self.seen) < min_docs - 1:
-            self.seen.append({})
+        new, number = here.keys() - self.enough, row.to_bytes(ROW, "big")
         for level in self.seen:  # a chunk's k-th document is kept at level k
             again = new & level.keys()
-            level.update(dict.fromkeys(new - again, row))
+            level.update(dict.fromkeys(new - again, number))
             new = again
         self.enough |= new
 
-    def rows(self) -> Iterator[tuple[bytes, int, bool, list[int]]]:
+    def rows(self) -> Iterator[tuple[bytes, int, Docs]]:
         for chunk, n in self.times.items():
-            if chunk in self.enough:
-                yield chunk, n, True, []
-            else:
-                yield chunk, n, False, [level[chunk] for level in self.seen if chunk in level]
+            yield chunk, n, None if chunk in self.enough else b"".join(level[chunk] for level in self.seen if chunk in level)
+
 
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of a bounded size."""
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == ROWS_AT_ONCE:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-def _count_chunks(min_docs: int):
-    kept = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.binary()), ("n", pa.int64()), ("enough", pa.bool_()), ("rows", pa.list_(pa.int64()))])
 
-    def send(held: dict[tuple[str, str], _Held]) -> Iterator[pa.RecordBatch]:
-        for (lang, source), part in held.items():
-            found = list(part.rows())
-            for at in range(0, len(found), ROWS_AT_ONCE):
-                own = found[at : at + ROWS_AT_ONCE]
-                columns = [[lang] * len(own), [source] * len(own), *map(list, zip(*own))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kept)], schema=kept)
-        held.clear()
+def _counted(name: str, documents: bool = True) -> pa.Schema:
+    fields = [("lang", pa.string()), ("source", pa.string()), (name, pa.binary()), ("n", pa.int64())]
+    return pa.schema(fields + ([("docs", pa.binary())] if documents else []))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _count_chunks(min_docs: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: dict[tuple[str, str], _Held] = {}
         size = 0
         for batch in batches:
-            langs, sources, rows = (batch.column(c).to_pylist() for c in ("lang", "source", "row"))
-            for lang, source, row, text in zip(langs, sources, rows, batch.column("text")):
+            langs, sources, numbers = (batch.column(c).to_pylist() for c in ("lang", "source", "row"))
+            for lang, source, number, text in zip(langs, sources, numbers, batch.column("text")):
                 part = held.get((lang, source))
                 if part is None:
-                    part = held[lang, source] = _Held()
+                    part = held[lang, source] = _Held(min_docs)
                 size -= len(part.times)
-                part.add(text.as_py(), row, min_docs)
+                part.add(text.as_py(), number)
                 size += len(part.times)
                 if size > HELD:
-                    yield from send(held)
-                    size = 0
-        yield from send(held)
+                    yield from ((*group, *row) for group, part in held.items() for row in part.rows())
+                    held, size = {}, 0
+        yield from ((*group, *row) for group, part in held.items() for row in part.rows())
 
-    return count
+    return lambda batches: _batches(rows(batches), _counted("chunk"))
 
 
 def chunk_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, source, chunk, n occurrences, and the documents: enough of them, or their row numbers."""
+    """lang, source, chunk, n occurrences and docs; one row or more per chunk of a group."""
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     texts = docs.select(
         plain(lang_col).alias("lang"), plain(source_col).alias("source"), plain(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row")
     )
-    schema = "lang string, source string, chunk binary, n long, enough boolean, rows array<long>"
-    counted = texts.mapInArrow(_count_chunks(min_docs), schema)
-    return _with_documents(counted.groupBy(*GROUP, F.col("chunk").cast("string").alias("chunk")), F.sum("n"), min_docs)
+    return texts.mapInArrow(_count_chunks(min_docs), "lang string, source string, chunk binary, n long, docs binary")
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], key: Callable[[tuple], object], min_docs: int) -> Iterator[tuple[object, dict[tuple[str, str], tuple[int, Docs]]]]:
+    """Each key of sorted rows (lang, source, item, n, docs) with the count and documents of its groups."""
+    last, found = None, {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            at = key(row)
+            if at != last:
+                if found:
+                    yield last, found
+                last, found = at, {}
+            group = row[:2]
+            if group in found:
+                n, docs = found[group]
+                found[group] = n + row[3], both(docs, row[4], min_docs)
+            else:
+                found[group] = row[3], row[4]
+    if found:
+        yield last, found
+
+
+def _tokenize(min_docs: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for chunk, found in _streamed(batches, lambda row: row[2], min_docs):
+            for term, times in Counter(TERM.findall(chunk.lower())).items():
+                for group, (n, docs) in found.items():
+                    yield *group, term, n * times, docs
+
+    return lambda batches: _batches(rows(batches), _counted("term"))
+
 
+def tokenize_chunks(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lang, source, term, n and docs; each distinct chunk is tokenized once."""
+    together = counted.repartition("chunk").sortWithinPartitions("chunk")
+    return together.mapInArrow(_tokenize(min_docs), "lang string, source string, term binary, n long, docs binary")
 
-def _with_documents(grouped, n: Column, min_docs: int) -> DataFrame:
-    """n, and whether ``min_docs`` documents are known; else their row numbers."""
-    rows = F.array_distinct(F.flatten(F.collect_list(F.when(F.size("rows") > 0, F.col("rows")))))
-    found = grouped.agg(n.alias("n"), F.max("enough").alias("enough"), rows.alias("rows"))
-    enough = F.col("enough") | (F.size("rows") >= min_docs)
-    return found.withColumn("enough", enough).withColumn("rows", F.when(F.col("enough"), F.array().cast("array<long>")).otherwise(F.col("rows")))
 
+def _keep(min_docs: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for (_, term), found in _streamed(batches, lambda row: (row[0], row[2]), min_docs):
+            docs: Docs = b""
+            for _, own in found.values():
+                docs = both(docs, own, min_docs)
+            if docs is None or len(docs) >= ROW * min_docs:
+                yield from ((*group, term, n) for group, (n, _) in found.items())
 
-def tokenize_chunks(chunks: DataFrame) -> DataFrame:
-    """chunk, term, times: the terms of each distinct chunk and how often it has them."""
-    words = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    each = chunks.select("chunk").distinct().select("chunk", F.explode(words).alias("term"))
-    return each.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
+    return lambda batches: _batches(rows(batches), _counted("term", documents=False))
 
 
 def term_counts(counted: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, source, term, count of the kept terms; ``counted`` is a written ``chunk_counts``."""
-    joined = counted.join(tokenize_chunks(counted), "chunk")
-    found = materialize(_with_documents(joined.groupBy(*GROUP, "term"), F.sum(F.col("n") * F.col("times")), min_docs), "terms")
-    whole = _with_documents(found.groupBy("lang", "term"), F.sum("n"), min_docs)
-    kept = whole.where("enough").select("lang", "term")
-    return found.select(*GROUP, "term", F.col("n").alias("count")).join(kept, ["lang", "term"])
+    """lang, source, term, count of the terms that enough documents of the language hold."""
+    terms = tokenize_chunks(counted, min_docs).repartition("lang", "term").sortWithinPartitions("lang", "term")
+    kept = terms.mapInArrow(_keep(min_docs), "lang string, source string, term binary, n long")
+    return kept.select(*GROUP, F.col("term").cast("string").alias("term"), F.col("n").alias("count"))
 
 
 def _big(value: Column) -> Column:
@@ -184,12 +231,12 @@ def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
     pairs = groups.select("lang", F.col("source").alias("a")).join(groups.select("lang", F.col("source").alias("b")), "lang").where("a <> b")
     a = counts.select("lang", "term", F.col("source").alias("a"), F.col("count").alias("ca"))
     b = counts.select("lang", "term", F.col("source").alias("b"), F.col("count").alias("cb"))
-    both = a.join(b, ["lang", "term"]).where("a <> b").groupBy("lang", "a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("n"))
+    shared = a.join(b, ["lang", "term"]).where("a <> b").groupBy("lang", "a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("n"))
     alike = materialize(counts.groupBy("lang", "source", "count").agg(F.count(F.lit(1)).alias("n")), "alike")
     # The four corners of each cell, by inclusion and exclusion against a count of zero.
     corner = lambda ca, cb, sign: F.struct(ca.cast("long").alias("ca"), cb.cast("long").alias("cb"), (sign * F.col("n")).alias("n"))
     ca, cb, zero = F.col("ca"), F.col("cb"), F.lit(0)
-    common = both.select("lang", "a", "b", F.inline(F.array(corner(ca, cb, 1), corner(ca, zero, -1), corner(zero, cb, -1), corner(zero, zero, 1))))
+    common = shared.select("lang", "a", "b", F.inline(F.array(corner(ca, cb, 1), corner(ca, zero, -1), corner(zero, cb, -1), corner(zero, zero, 1))))
     of_a = alike.select("lang", F.col("source").alias("a"), F.col("count").alias("ca"), "n").join(pairs, ["lang", "a"])
     of_b = alike.select("lang", F.col("source").alias("b"), F.col("count").alias("cb"), "n").join(pairs, ["lang", "b"])
     only_a = of_a.select("lang", "a", "b", F.inline(F.array(corner(ca, zero, 1), corner(zero, zero, -1))))
@@ -211,8 +258,7 @@ def audit_sources(
     min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
 ) -> DataFrame:
     """lang, source, part (pair or term), item, value and rank."""
-    counted = materialize(chunk_counts(docs, text_col, lang_col, source_col, min_docs), "chunks")
-    counts = materialize(term_counts(counted, min_docs), "counts")
+    counts = materialize(term_counts(chunk_counts(docs, text_col, lang_col, source_col, min_docs), min_docs), "counts")
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     every = docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source")).distinct()
     in_lang = materialize(counts.groupBy("lang", "term").agg(F.sum("count").alias("count")), "lang-counts")

@@ -23,8 +23,6 @@ has no other.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,10 +45,14 @@ CELL = ["label", "dim", "block", "x", "y"]
 BEFORE = ((-1, -1), (-1, 0), (-1, 1), (0, -1))
 
 
-@lru_cache(maxsize=16)
+_rotations: dict[int, np.ndarray] = {}
+
+
 def rotation(dim: int) -> np.ndarray:
     """Orthogonal matrix, the same in every process."""
-    return np.linalg.qr(np.random.default_rng(SEED).normal(size=(dim, dim)))[0]
+    if dim not in _rotations:
+        _rotations[dim] = np.linalg.qr(np.random.default_rng(SEED).normal(size=(dim, dim)))[0]
+    return _rotations[dim]
 
 
 def block_slices(dim: int) -> list[slice]:
@@ -73,14 +75,14 @@ def _unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
 def _cells(cosine: float):
     @F.pandas_udf("array<struct<block:int,x:long,y:long>>")
     def cells(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            turned = _unit([v])[1][0]
-            found = []
-            for b, (part, share) in enumerate(zip(block_slices(len(v)), shares(len(v), cosine))):
-                at = np.floor(turned[part][:2] / np.sqrt(share))
-                found.append({"block": b, "x": int(at[0]), "y": int(at[1]) if len(at) > 1 else 0})
-            out.append(found)
+        out, sizes = [[] for _ in range(len(vectors))], vectors.map(len).to_numpy()
+        for dim in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == dim)
+            turned = _unit(vectors.iloc[rows].tolist())[1]
+            for b, (part, share) in enumerate(zip(block_slices(dim), shares(dim, cosine))):
+                at = np.floor(turned[:, part][:, :2] / np.sqrt(share)).astype(np.int64)
+                for row, place in zip(rows.tolist(), at.tolist()):
+                    out[row].append({"block": b, "x": place[0], "y": place[1] if len(place) > 1 else 0})
         return pd.Series(out)
 
     return cells
@@ -175,13 +177,13 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     whole = distinct.join(degree, "uid", "left").join(linked, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     known = whole.join(least, "component").select(
-        "label", "embedding", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.col("component_id").alias("linked_id"), F.lit(True).alias("joined")
+        "label", "embedding", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "component_id"
     )
-    out = rows.join(known, ["label", "embedding"], "left")
-    component = F.when(F.col("joined"), F.col("linked_id")).otherwise(F.col("id"))
-    return out.select(
+    joined = rows.where("usable").join(known, ["label", "embedding"]).select("id", "links", "component_id")
+    alone = rows.where("NOT usable").select("id", F.lit(0).alias("links"), F.col("id").alias("component_id"))
+    return joined.unionByName(alone).select(
         F.col("id").alias(id_col),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("links").cast("long").alias("n_links"),
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import WORD, broadcast_if_small, null_key, pack
+from topicloom.llm.common import WORD, broadcast_if_small, hash_inputs, null_key, pack
 from topicloom.runtime import materialize
 
 MAX_REPEATS = 3
@@ -137,15 +137,21 @@ def mix(rows: DataFrame) -> DataFrame:
     before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("all") - F.coalesce(F.sum("here").over(before), F.lit(0))
     quota = materialize(counts.select(*group, F.greatest(left, F.lit(0)).alias("quota")), "quotas")
-    ranked = tagged.join(broadcast_if_small(quota, 64), group, "left")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("draw", F.xxhash64("row")))
+    # Dealt by bucket whatever the joins did: a source's length may hold a third of all rows.
+    ranked = tagged.join(broadcast_if_small(quota, 64), group, "left").repartition(*group)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("draw", F.xxhash64(*hash_inputs(rows.schema["row"].dataType))))
     more = (rank <= F.coalesce("quota", "extra")).cast("long")
     return ranked.select("row", "size", "source_size", "target", (F.col("whole") + more).alias("copies"))
 
 
+def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """Source, size and draw of a row; the text parts rows without an id of their own."""
+    return {"key": null_key(source_col), "size": word_count(text_col), "draw": F.xxhash64(F.lit(SEED), null_key(id_col), text_col)}
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """id, size, source_size, target (of its source) and taken (size times copies) of every row."""
-    keys = {"key": null_key(source_col), "size": word_count(text_col), "draw": F.xxhash64(F.lit(SEED), null_key(id_col))}
+    keys = _keys(id_col, text_col, source_col)
     sized = docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), *[c.alias(n) for n, c in keys.items()])
     mixed = mix(materialize(sized, "sized"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -154,6 +160,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of the mix: each as often as it is taken."""
-    rows = pack(docs, key=null_key(source_col), size=word_count(text_col), draw=F.xxhash64(F.lit(SEED), null_key(id_col)))
+    rows = pack(docs, **_keys(id_col, text_col, source_col))
     mixed = mix(rows).where(F.col("copies") > 0)
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

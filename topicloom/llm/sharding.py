@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import null_key, pack
+from topicloom.llm.common import hash_inputs, null_key, pack
 
 #: Shards by rack, racks by region; a shard is (number, weight).
 Tree = list[list[list[tuple[int, float]]]]
@@ -88,7 +88,7 @@ def shard(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "
 
     grown_shard is the shard under ``grown``, null without it.
     """
-    beside = [F.col(f"`row`.`{c}`") for c in docs.columns if c != text_col]
+    beside = hash_inputs(docs.schema, text_col)
     parts = 1 + docs.select(id_col).count() // PART_ROWS
     sized = pack(
         docs,

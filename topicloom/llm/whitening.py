@@ -75,6 +75,7 @@ def refine(matrix: np.ndarray, vectors: np.ndarray, steps: int = MAX_STEPS) -> t
     for _ in range(steps):
         r = one - x.T @ x
         t = x.T @ (a @ x)
+        r, t = (r + r.T) / 2, (t + t.T) / 2  # else rounding over a small gap costs orthogonality
         values = np.diag(t) / (1 - np.diag(r))
         order = np.argsort(-values, kind="stable")
         x, values = x[:, order], values[order]
@@ -93,8 +94,8 @@ def refine(matrix: np.ndarray, vectors: np.ndarray, steps: int = MAX_STEPS) -> t
             if size > 0:
                 turn = np.linalg.eigh((inner / size).astype(np.float64))[1][:, ::-1].astype(np.longdouble)
                 x[:, run] = part @ turn
-        change = float(np.abs(e).max()) if len(e) else 0.0
-        if not clusters(values, gap) and (change < 1e-18 or change >= last):
+        change = np.inf if clusters(values, gap) else float(np.abs(e).max())
+        if change < 1e-18 or np.inf > change >= last:
             break
         last = change
     values = (x * (a @ x)).sum(axis=0) / (x * x).sum(axis=0)
