@@ -39,8 +39,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their slot in it."""
-    return sharding.shard(docs, sharding.balanced_tree(SHARDS)).select("row.*", "shard", "slot")
+    """Documents with their shard and their slot in it; columns of these names are replaced."""
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("shard", "slot")]
+    return sharding.shard(docs, sharding.balanced_tree(SHARDS)).select(*kept, "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
