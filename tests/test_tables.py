@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from topicloom.operators import containment, ngrams
 from topicloom.operators.clean import integer_volume
 from topicloom.operators.clean import clean_queries, top_n_per_group
 from topicloom.operators.containment import containment_join, ngram_volume
@@ -69,6 +70,41 @@ def test_pruned_counts_equal_plain_counts(spark):
     assert a == sorted(ngram_frequency(df, min_df=3, by_level=False).collect()) and a
 
 
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_counted_runs_by_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(ngrams, "TOKENS_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    rows = [[rng.choice("ab bc cd é 中文 x1".split()) for _ in range(rng.randrange(12))] for _ in range(120)] + [None, [], ["ab"] * 50]
+    tokens = spark.createDataFrame([(r,) for r in rows], "tokens array<string>").repartition(3)
+    times, docs = Counter(), Counter()
+    for r in rows:
+        runs = [" ".join(r[i : i + n]) for n in range(1, 5) for i in range(len(r) - n + 1)] if r else []
+        times.update(runs)
+        docs.update(set(runs))
+    got = {r["feature"]: (r["frequency"], r["doc_frequency"]) for r in ngrams.count_runs(tokens, range(1, 5)).collect()}
+    assert got == {f: (times[f], docs[f]) for f in times}
+    words = spark.createDataFrame([("ab",), ("cd",), ("é",)], "feature string")
+    pairs = spark.createDataFrame([("ab cd",), ("cd ab",), ("é é",)], "feature string")
+    got = {r["feature"]: r["frequency"] for r in ngrams.count_runs(tokens, range(3, 5), ngrams.Seen.of(words), ngrams.Seen.of(pairs)).collect()}
+    known = {r[0] for r in pairs.collect()}
+    assert got == {f: n for f, n in times.items() if f.count(" ") >= 2 and all(" ".join(f.split()[i : i + 2]) in known for i in range(f.count(" ")))}
+
+
+@pytest.mark.parametrize("marks", [1, 1 << 25])
+def test_containment_hits_by_force(spark, monkeypatch, marks):
+    monkeypatch.setattr(containment, "MARKS_AT_ONCE", marks)
+    monkeypatch.setattr(containment, "CANDIDATES_AT_ONCE", marks)
+    monkeypatch.setattr(containment, "ROWS_AT_ONCE", 7)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(30)] + ["", "É"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(200)] + [None, "W1 w2", "w1 " * 500]
+    names = sorted({" ".join(rng.sample(words[:30], rng.randrange(1, 4))) for _ in range(60)} | {"é w3"})
+    queries = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, query string, _text string")
+    features = spark.createDataFrame([(n,) for n in names], "feature string")
+    got = sorted((r["feature"], r["id"], r["_text"]) for r in containment_join(features, queries).collect())
+    assert got == sorted((n, i, "x") for n in names for i, t in enumerate(texts) if t is not None and set(n.split(" ")) <= set(t.lower().split(" ")))
+
+
 def test_merge_ngrams_against_subtract_and_clamp(spark):
     rng = random.Random(1)
     words = "a1 b2 c3 d4 e5".split()

@@ -2,13 +2,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.operators.centroids import assign_outliers, silhouette_rows
+from topicloom.operators.centroids import assign_outliers, euclidean_silhouette_rows, silhouette_rows
 from topicloom.operators.cluster import (
     default_min_samples, density_cluster, estimate_epsilon, hierarchical_cluster, recluster_outliers, reduce_vectors,
     ward_merges,
 )
 from topicloom.operators import cluster
 from topicloom.operators.components import connected_components
+from topicloom.operators.descent import neighbor_descent
+from topicloom.operators.hierarchy import graph_tree, hierarchy_cluster
 from topicloom.operators.encode import encode_texts
 from topicloom.operators.enrich import collect_entities, enrich_with_callable, tag_entities
 from topicloom.operators.knn import knn_graph
@@ -166,6 +168,128 @@ def test_ward_merges_against_brute_force():
     assert {frozenset(np.flatnonzero(got == g).tolist()) for g in set(got.tolist())} == set(map(frozenset, groups))
 
 
+def ward_k_by_force(x, k):
+    """Labels by smallest row: the cheapest pair merges until ``k`` groups are left."""
+    sizes, centers, group = np.ones(len(x)), x.astype(float).copy(), np.arange(len(x))
+    for _ in range(len(x) - k):
+        gap = np.linalg.norm(centers[:, None] - centers[None], axis=2)
+        with np.errstate(invalid="ignore"):
+            cost = np.sqrt(2 * sizes[:, None] * sizes / (sizes[:, None] + sizes)) * gap
+        cost[(sizes[:, None] == 0) | (sizes == 0) | np.eye(len(x), dtype=bool)] = np.inf
+        a, b = sorted(divmod(int(cost.argmin()), len(x)))
+        centers[a] = (sizes[a] * centers[a] + sizes[b] * centers[b]) / (sizes[a] + sizes[b])
+        sizes[a], sizes[b] = sizes[a] + sizes[b], 0
+        group[group == b] = a
+    return np.unique(group, return_inverse=True)[1].tolist()
+
+
+def test_ward_tree_cut_to_any_number(spark):
+    x = np.random.default_rng(12).normal(size=(90, 3))
+    x[60:] += [4, 0, 0]
+    df = table(spark, x)
+    nodes = df.select("id", F.lit(1).alias("n"), F.col("embedding").alias("vec"))
+    tree = cluster.ward_tree(nodes).cache()
+    assert tree.count() == 89
+    for k in range(1, 51):
+        found = {r["id"]: r["component"] for r in cluster.cut_tree(nodes, tree, k).collect()} if k in (1, 2, 7, 50) else None
+        merges = sorted(tree.collect(), key=lambda r: (r["cost"], r["place"]))[: 90 - k]
+        parent = list(range(90))
+        for r in merges:
+            a, b = r["id"], r["other"]
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            parent[max(a, b)] = min(a, b)
+        group = []
+        for i in range(90):
+            while parent[i] != i:
+                i = parent[i]
+            group.append(i)
+        assert np.unique(group, return_inverse=True)[1].tolist() == ward_k_by_force(x, k)
+        assert found is None or [found[i] for i in range(90)] == group
+
+
+def test_ward_k_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "WARD_LOCAL", 30)
+    x = np.random.default_rng(13).normal(size=(80, 3))
+    x[0] += [90, 0, 0]  # two far rows merge early, and at a high cost
+    x[1] += [90, 9, 0]
+    x[40:45] = x[40]
+    got = hierarchical_cluster(table(spark, x), k=6).toPandas().sort_values("id").label.tolist()
+    assert got == ward_k_by_force(x, 6)
+    many = hierarchical_cluster(table(spark, x), k=500).toPandas().label
+    assert many.nunique() == 76
+
+
+def silhouette_by_force(x, label):
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    out = []
+    for i, own in enumerate(label):
+        if (label == own).sum() == 1:
+            out.append(0.0)
+            continue
+        a = apart[i][label == own].sum() / ((label == own).sum() - 1)
+        b = min(apart[i][label == other].mean() for other in set(label) - {own})
+        out.append((b - a) / max(a, b))
+    return np.array(out)
+
+
+@pytest.mark.parametrize(("clusters", "block_rows"), [(4, 2048), (90, 16)])
+def test_euclidean_silhouette(spark, clusters, block_rows):
+    rng = np.random.default_rng(clusters)
+    label = np.append(rng.integers(0, clusters, 300), 999)
+    x = rng.normal(size=(301, 3)) + 0.8 * (label[:, None] % 7)
+    df = spark.createDataFrame([(i, [float(c) for c in v], int(g), 1) for i, (v, g) in enumerate(zip(x, label))], "id long, embedding array<double>, label int, _r int")
+    lost = spark.createDataFrame([(900, None, 1, 1), (901, [1.0, 1.0, 1.0], None, 1)], df.schema)
+    got = euclidean_silhouette_rows(df.unionByName(lost), block_rows=block_rows).toPandas().set_index("id")
+    assert list(got.columns) == ["embedding", "label", "_r", "silhouette"] and got.silhouette[[900, 901]].isna().all()
+    assert np.allclose(got.silhouette.sort_index()[:301], silhouette_by_force(x, label), atol=1e-9)
+
+
+def test_neighbor_descent_recall(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(3000, 12))
+    x[:1000] = rng.normal(size=(1000, 2)) @ rng.normal(size=(2, 12))
+    x[2500:] = x[2500]  # many copies of one row
+    df = table(spark, x)
+    exact = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T, 0))
+    np.fill_diagonal(exact, 0)
+    kth = np.sort(exact, axis=1)[:, 9] + 1e-6
+    got = neighbor_descent(df, 10, direct=0).toPandas()
+    assert (got.groupby("id").size() == 10).all() and (got[got.position == 1].id == got[got.position == 1].neighbor).all()
+    assert np.allclose(got.distance, exact[got.id, got.neighbor], atol=1e-5)
+    assert not got.duplicated(["id", "neighbor"]).any()
+    assert (got.distance <= kth[got.id]).mean() >= 0.9
+    again = neighbor_descent(df.repartition(3), 10, direct=0).toPandas()
+    key = ["id", "position"]
+    assert (got.sort_values(key).distance.to_numpy() == again.sort_values(key).distance.to_numpy()).all()
+
+
+def test_shuffled_rows_of_a_round_do_not_grow_with_the_table(spark):
+    from topicloom.operators import descent
+
+    per_row = []
+    for n in (400, 1600):
+        nodes = table(spark, np.random.default_rng(1).normal(size=(n, 4))).select("id", F.col("embedding").alias("vec"))
+        empty = nodes.select("id", F.array().cast(descent.ENTRY).alias("hood"))
+        lists = descent._merged(empty, descent._compare(descent._chance(nodes, n, 0)), 20)
+        met = descent._members(lists, nodes, 20, 5, 0)
+        per_row.append(met.count() / n)
+        assert met.groupBy("place").count().agg(F.max("count")).first()[0] <= 20
+    assert per_row[1] < 1.1 * per_row[0]
+
+
+def test_hierarchy_of_a_neighbour_graph(spark):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 0.05, (60, 3)), rng.normal(0, 0.05, (60, 3)) + [0.5, 0, 0], rng.normal(0, 1, (80, 3)) + [12, 0, 0]])
+    df = table(spark, x)
+    near = neighbor_descent(df, 16, direct=0)
+    got = hierarchy_cluster(df, 5, 10, neighbors=near, tree=graph_tree(near, 5)).toPandas().sort_values("id").label.to_numpy()
+    assert all((got[a:b] == got[a]).mean() > 0.6 for a, b in ((0, 60), (60, 120), (120, 200)))
+    assert len({np.bincount(got[a:b] + 1).argmax() for a, b in ((0, 60), (60, 120), (120, 200))}) == 3
+
+
 def test_outliers_and_silhouette(spark):
     x = groups()[:70]
     label = np.array([0] * 35 + [-1] * 5 + [1] * 25 + [-1] * 5)
@@ -175,8 +299,8 @@ def test_outliers_and_silhouette(spark):
     clean = df.where("label >= 0")
     s = silhouette_rows(clean).toPandas().silhouette
     assert s.min() > 0.9 and s.max() <= 1
-    one = silhouette_rows(df.where("label = 0")).toPandas().silhouette
-    assert one.isna().all()
+    for form in (silhouette_rows, euclidean_silhouette_rows):
+        assert form(df.where("label = 0")).toPandas().silhouette.isna().all()
 
 
 def test_reduce_vectors(spark):
@@ -283,3 +407,27 @@ def test_build_categories(spark):
     assert asked.categories.count() == 2
     with pytest.raises(RuntimeError):
         build_categories(log, write_outline=lambda table: 1 / 0, min_df=2)
+
+
+def test_input_columns_come_back(spark):
+    x = groups()
+    taken = "row id_ query_ label text_label category_id category_path category similarity _row _vec embedding_ neighbor distance path path_text"
+    df = table(spark, x, query=["pool chair"] * 40 + ["red lamp"] * 30 + ["odd"] * 5)
+    df = df.select("*", *[F.concat(F.lit(f"mine {n} "), "id").alias(n) for n in taken.split()])
+    cats = categories(spark)
+    plain = df.drop("label", "text_label")
+    clustering = {"min_cluster_size": 5, "use_elbow": False}
+    for given, got in (
+        (df, add_categories(df, cats)),
+        (df, add_categories(df, cats, cross_encoded=True)),
+        (df, add_categories_clustered(df, cats, reduction_dims=0, **clustering)),
+        (plain, cluster_topics(plain, search="descent", **clustering)),
+        (df, cluster_topics(df, label_col="group", text_label_col="group_name", **clustering)),
+    ):
+        tagged = got.columns[-1] == "category_path"
+        kept = [n for n in taken.split() if n in given.columns and not (tagged and n == "category_path")]
+        rows = got.collect()
+        assert len(rows) == 75 and len(set(got.columns)) == len(got.columns)
+        assert all(r[n] == f"mine {n} {r['id']}" for r in rows for n in kept)
+    with pytest.raises(ValueError, match="label"):
+        cluster_topics(df)

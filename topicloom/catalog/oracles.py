@@ -491,6 +491,15 @@ rest AS (SELECT id, min(total / n) AS b FROM sq WHERE label <> other GROUP BY id
 SELECT id, CAST(label AS BIGINT) AS label, round((b - a) / greatest(a, b), 6) AS silhouette
 FROM own JOIN rest USING (id)"""
 
+ORACLES["silhouette_euclidean"] = f"""
+WITH {_CENTERS},
+sq AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
+       FROM vecs a, vecs b GROUP BY ALL),
+own AS (SELECT id, label, total / (n - 1) AS a FROM sq WHERE label = other),
+rest AS (SELECT id, min(total / n) AS b FROM sq WHERE label <> other GROUP BY id)
+SELECT id, CAST(label AS BIGINT) AS label, round((b - a) / greatest(a, b), 6) AS silhouette
+FROM own JOIN rest USING (id)"""
+
 _FISHED = """
 WITH lab AS (SELECT vec_id AS id, CASE WHEN label >= 8 THEN -1 ELSE label END AS label,
                     CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -505,6 +514,15 @@ SELECT id, CAST(label AS BIGINT) AS label FROM lab WHERE label <> -1
 UNION ALL SELECT id, CAST(label AS BIGINT) FROM moved"""
 
 ORACLES["outliers_to_nearest_gated"] = f"""{_FISHED},
+sq AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
+       FROM moved a, moved b GROUP BY ALL),
+own AS (SELECT id, label, n, CASE WHEN n > 1 THEN total / (n - 1) END AS a FROM sq WHERE label = other),
+rest AS (SELECT id, min(total / n) AS b FROM sq WHERE label <> other GROUP BY id),
+sil AS (SELECT id, label, CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM own JOIN rest USING (id))
+SELECT id, CAST(label AS BIGINT) AS label FROM lab WHERE label <> -1
+UNION ALL SELECT id, CAST(CASE WHEN s > 0 THEN label ELSE -1 END AS BIGINT) FROM sil"""
+
+ORACLES["outliers_to_nearest_squared"] = f"""{_FISHED},
 sq AS (SELECT a.id, a.label, b.label AS other, sum(power(list_distance(a.v, b.v), 2)) AS total, count(*) AS n
        FROM moved a, moved b GROUP BY ALL),
 own AS (SELECT id, label, n, CASE WHEN n > 1 THEN total / (n - 1) END AS a FROM sq WHERE label = other),
@@ -539,6 +557,107 @@ links AS (SELECT id AS a, neighbor AS b FROM dist WHERE d <= 1.05),
 named AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS label FROM groups GROUP BY g)
 SELECT id, label FROM groups JOIN named USING (g)"""
 
+ORACLES["density_hierarchy"] = f"""
+WITH RECURSIVE {_CENTERS}, {_NEIGHBORS},
+core AS (SELECT id, d AS c FROM near WHERE position = 3),
+link AS MATERIALIZED (
+  SELECT dist.id AS a, neighbor AS b, greatest(d, x.c, y.c) AS w
+  FROM dist JOIN core x ON x.id = dist.id JOIN core y ON y.id = neighbor WHERE dist.id <> neighbor),
+prim(node, src, w, done) USING KEY (node) AS (
+  SELECT id, CAST(NULL AS BIGINT), CASE WHEN id = (SELECT min(id) FROM vecs) THEN -1.0 ELSE 'inf'::DOUBLE END, false FROM vecs
+  UNION
+  (WITH here AS (SELECT node, src, w FROM recurring.prim WHERE NOT done ORDER BY w, node LIMIT 1)
+   SELECT node, src, w, true FROM here
+   UNION ALL
+   SELECT p.node, h.node, l.w, false FROM here h JOIN link l ON l.a = h.node
+   JOIN recurring.prim p ON p.node = l.b WHERE NOT p.done AND l.w < p.w)),
+edges AS (SELECT src AS a, node AS b, w, row_number() OVER (ORDER BY w, node) AS k FROM prim WHERE w >= 0),
+ids AS (SELECT list(id ORDER BY id) AS l FROM vecs),
+steps(k, g) AS (
+  SELECT 0::BIGINT, list_transform(l, lambda x, i: CAST(i AS BIGINT)) FROM ids
+  UNION ALL
+  SELECT e.k, list_transform(g, lambda x: CASE WHEN x = greatest(g[list_position(l, a)], g[list_position(l, b)])
+                                             THEN least(g[list_position(l, a)], g[list_position(l, b)]) ELSE x END)
+  FROM steps s JOIN edges e ON e.k = s.k + 1, ids),
+levels AS (
+  SELECT row_number() OVER (ORDER BY w) AS k, w, g FROM (
+    SELECT w, g FROM edges JOIN steps USING (k) QUALIFY row_number() OVER (PARTITION BY w ORDER BY edges.k DESC) = 1)),
+spots AS (SELECT k, w, unnest(g) AS lab, unnest(range(1, len(g) + 1)) AS p FROM levels),
+large AS (SELECT k, w, lab, count(*) AS n FROM spots GROUP BY ALL HAVING count(*) >= 5),
+inner_ AS (
+  SELECT l.k, l.lab, count(DISTINCT s.lab) AS c, min(s.lab) AS one
+  FROM large l LEFT JOIN (
+    SELECT s.k + 1 AS k, t.lab AS up, s.lab FROM large s JOIN spots t ON t.k = s.k + 1 AND t.p = s.lab) s
+  ON s.k = l.k AND s.up = l.lab GROUP BY ALL),
+named(k, lab, ck, cl) AS (
+  SELECT k, lab, k, lab FROM inner_ WHERE c <> 1
+  UNION ALL
+  SELECT i.k, i.lab, n.ck, n.cl FROM named n JOIN inner_ i ON i.k = n.k + 1 AND i.c = 1 AND i.one = n.lab),
+clusters AS (
+  SELECT n.ck, n.cl, min(l.w) AS death, max(n.k) AS last, max(l.n) AS size FROM named n JOIN large l USING (k, lab) GROUP BY ALL),
+tops AS (
+  SELECT c.ck, c.cl, c.death, c.size, up.ck AS pk, up.cl AS pl, lv.w AS birth
+  FROM clusters c JOIN named n ON n.ck = c.ck AND n.cl = c.cl AND n.k = c.last
+  LEFT JOIN spots t ON t.k = c.last + 1 AND t.p = n.lab
+  LEFT JOIN named up ON up.k = t.k AND up.lab = t.lab
+  LEFT JOIN levels lv ON lv.k = t.k),
+fallen AS (
+  SELECT s.p, min(s.k) AS k FROM spots s JOIN large USING (k, lab) GROUP BY s.p),
+homes AS (
+  SELECT f.p, n.ck, n.cl, s.w FROM fallen f JOIN spots s ON s.p = f.p AND s.k = f.k JOIN named n ON n.k = s.k AND n.lab = s.lab),
+loose AS (SELECT ck, cl, sum(1 / greatest(w, 1e-9)) AS mass FROM homes GROUP BY ALL),
+passed AS (SELECT pk AS ck, pl AS cl, sum(size / greatest(birth, 1e-9)) AS mass FROM tops WHERE pk IS NOT NULL GROUP BY ALL),
+own AS (
+  SELECT t.*, coalesce(l.mass, 0) + coalesce(q.mass, 0) - coalesce(size / greatest(birth, 1e-9), 0) AS worth
+  FROM tops t LEFT JOIN loose l USING (ck, cl) LEFT JOIN passed q USING (ck, cl)),
+deep(ck, cl, depth) AS (
+  SELECT ck, cl, 0 FROM own WHERE pk IS NULL
+  UNION ALL SELECT o.ck, o.cl, depth + 1 FROM own o JOIN deep d ON o.pk = d.ck AND o.pl = d.cl),
+rated(depth, ck, cl, pk, pl, best, chosen) AS (
+  SELECT max(depth) + 1, -1::BIGINT, -1::BIGINT, -1::BIGINT, -1::BIGINT, 0.0::DOUBLE, false FROM deep
+  UNION ALL
+  (WITH below AS (SELECT pk, pl, sum(best) AS best FROM rated GROUP BY ALL), lev AS (SELECT min(depth) - 1 AS depth FROM rated)
+   SELECT d.depth, o.ck, o.cl, o.pk, o.pl, greatest(worth, coalesce(b.best, worth)),
+          o.pk IS NOT NULL AND (b.best IS NULL OR worth >= b.best)
+   FROM lev JOIN deep d ON d.depth = lev.depth JOIN own o ON o.ck = d.ck AND o.cl = d.cl
+   LEFT JOIN below b ON b.pk = o.ck AND b.pl = o.cl)),
+owned(ck, cl, ok, ol) AS (
+  SELECT ck, cl, CASE WHEN chosen THEN ck END, CASE WHEN chosen THEN cl END FROM rated WHERE depth = 0
+  UNION ALL
+  SELECT r.ck, r.cl, coalesce(o.ok, CASE WHEN r.chosen THEN r.ck END), coalesce(o.ol, CASE WHEN r.chosen THEN r.cl END)
+  FROM owned o JOIN rated r ON r.pk = o.ck AND r.pl = o.cl),
+picked AS (SELECT h.p, ok, ol FROM homes h JOIN owned o ON o.ck = h.ck AND o.cl = h.cl WHERE ok IS NOT NULL),
+numbers AS (SELECT ok, ol, row_number() OVER (ORDER BY min(p)) - 1 AS label FROM picked GROUP BY ALL)
+SELECT v.id, CAST(coalesce(label, -1) AS BIGINT) AS label
+FROM (SELECT id, row_number() OVER (ORDER BY id) AS p FROM vecs) v LEFT JOIN picked USING (p) LEFT JOIN numbers USING (ok, ol)"""
+
+ORACLES["density_hierarchy_blocked"] = ORACLES["density_hierarchy"]
+ORACLES["ward_groups"] = f"""
+WITH RECURSIVE {_CENTERS}, {_NEIGHBORS},
+ward(a, b, d, na, nb, cost) USING KEY (a, b) AS (
+  SELECT a.id, b.id, list_distance(a.v, b.v) ** 2, 1.0::DOUBLE, 1.0::DOUBLE, CAST(NULL AS DOUBLE)
+  FROM vecs a, vecs b WHERE a.id < b.id
+  UNION
+  (WITH best AS (SELECT a, b, d, na, nb FROM recurring.ward WHERE d < 'inf'::DOUBLE ORDER BY d, a, b LIMIT 1),
+   other AS (
+     SELECT w.a, w.b, w.d, w.na, w.nb, x.a AS i, x.b AS j, x.d AS dij, x.na AS ni, x.nb AS nj,
+            CASE WHEN w.a IN (x.a, x.b) THEN w.b ELSE w.a END AS k, CASE WHEN w.a IN (x.a, x.b) THEN w.nb ELSE w.na END AS nk,
+            x.a IN (w.a, w.b) AS stays
+     FROM recurring.ward w, best x WHERE w.d < 'inf'::DOUBLE AND (w.a IN (x.a, x.b)) <> (w.b IN (x.a, x.b)))
+   SELECT a, b, 'inf'::DOUBLE, na, nb, d FROM best
+   UNION ALL
+   SELECT a, b, 'inf'::DOUBLE, na, nb, CAST(NULL AS DOUBLE) FROM other WHERE NOT stays
+   UNION ALL
+   SELECT s.a, s.b, ((s.ni + s.nk) * s.d + (s.nj + s.nk) * l.d - s.nk * s.dij) / (s.ni + s.nj + s.nk),
+          CASE WHEN s.a = s.i THEN s.ni + s.nj ELSE s.na END, CASE WHEN s.b = s.i THEN s.ni + s.nj ELSE s.nb END, CAST(NULL AS DOUBLE)
+   FROM other s JOIN other l ON s.k = l.k WHERE s.stays AND NOT l.stays)),
+nodes AS (SELECT id FROM vecs),
+kept AS (SELECT a, b FROM ward WHERE cost IS NOT NULL ORDER BY cost DESC OFFSET 9),
+links AS (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept),
+{_REACH},
+named AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS label FROM groups GROUP BY g)
+SELECT id, label FROM groups JOIN named USING (g)"""
+
 ORACLES["density_groups_blocked"] = ORACLES["density_groups"]
 ORACLES["threshold_groups_blocked"] = ORACLES["threshold_groups"]
 
@@ -591,10 +710,8 @@ parts AS (
   SELECT p_partkey AS id, lower(p_name) AS query,
          CASE WHEN CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) > 20 THEN -1
               ELSE CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) END AS label FROM part),
-names AS (SELECT query, row_number() OVER (ORDER BY query) - 1 AS number
-          FROM (SELECT DISTINCT query FROM parts)),
 named AS (SELECT p.id, p.query, p.label, CAST(e.embedding AS DOUBLE[]) AS v
-          FROM parts p JOIN names USING (query) JOIN embeddings e ON e.vec_id = number)"""
+          FROM parts p JOIN embeddings e ON e.vec_id = p.id % (SELECT count(*) FROM embeddings))"""
 
 _CLUSTER_TERMS = f"""
 inside AS (SELECT id, label, query FROM named WHERE label > -1),

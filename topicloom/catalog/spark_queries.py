@@ -12,12 +12,15 @@ from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType
 from topicloom.functions import text as T
 from topicloom.functions import vectors as V
 from topicloom.operators import clean, cluster, features, lookup, ngrams, outline, rank, scoring
-from topicloom.operators.centroids import assign_outliers, centroids, label_stats, silhouette_rows
+from topicloom.operators.centroids import (
+    assign_outliers, centroids, euclidean_silhouette_rows, label_stats, silhouette_rows,
+)
 from topicloom.operators.components import connected_components
 from topicloom.operators.containment import containment_join, ngram_volume
 from topicloom.operators.ctfidf import class_tfidf
 from topicloom.operators.encode import encode_texts
 from topicloom.operators.enrich import collect_entities, enrich_with_callable, tag_entities
+from topicloom.operators.hierarchy import hierarchy_cluster
 from topicloom.operators.knn import knn_distance_curve, knn_graph
 from topicloom.operators.nearest import assign_nearest, top_n_categories
 from topicloom.operators.percentile import exact_percentile
@@ -104,20 +107,16 @@ class Tables:
         )
 
     def named_vectors(self) -> DataFrame:
-        """Every part row with the vector of its name's number."""
-        parts = self.read("part").select(
-            F.col("p_partkey").alias("id"), F.lower("p_name").alias("query"), "p_brand"
-        )
-        names = rank.global_rank(parts.select("query").distinct(), [F.asc("query")], "number")
-        numbered = names.join(self.vectors(), F.col("number") - 1 == F.col("id")).select(
-            "query", "embedding"
-        )
+        """Every part row with its brand's number and the vector of its key."""
+        vectors = self.vectors().select(F.col("id").alias("_v"), "embedding")
+        many = vectors.select(F.count(F.lit(1)).alias("v")).scalar()
         brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
         label = F.when(brand > 20, -1).otherwise(brand)
-        return materialize(
-            parts.join(numbered, "query").select("id", "query", label.alias("label"), "embedding"),
-            "named-vectors",
+        parts = self.read("part").select(
+            F.col("p_partkey").alias("id"), F.lower("p_name").alias("query"), label.alias("label")
         )
+        placed = parts.join(vectors, F.pmod("id", many) == F.col("_v")).drop("_v")
+        return materialize(placed, "named-vectors")
 
     def word_scores(self) -> DataFrame:
         counts = ngrams.count_ngrams(self.documents(), "text", (1, 1))
@@ -585,6 +584,11 @@ def silhouette(t: Tables) -> DataFrame:
     return silhouette_rows(t.vectors()).select("id", "label", "silhouette")
 
 
+@query
+def silhouette_euclidean(t: Tables) -> DataFrame:
+    return euclidean_silhouette_rows(t.vectors(), block_rows=256).select("id", "label", "silhouette")
+
+
 def _with_outliers(t: Tables) -> DataFrame:
     label = F.when(F.col("label") >= 8, -1).otherwise(F.col("label")).cast("int")
     return t.vectors().withColumn("label", label)
@@ -600,6 +604,11 @@ def outliers_to_nearest_gated(t: Tables) -> DataFrame:
     return assign_outliers(_with_outliers(t), gate="silhouette").select("id", "label")
 
 
+@query
+def outliers_to_nearest_squared(t: Tables) -> DataFrame:
+    return assign_outliers(_with_outliers(t), gate="squared").select("id", "label")
+
+
 @query
 def label_counts(t: Tables) -> DataFrame:
     return label_stats(_with_outliers(t))
@@ -610,6 +619,16 @@ def density_groups(t: Tables) -> DataFrame:
     return cluster.density_cluster(t.vectors().drop("label"), 1.12, 3, 5).select("id", "label")
 
 
+@query
+def density_hierarchy(t: Tables) -> DataFrame:
+    return hierarchy_cluster(t.vectors().drop("label"), 3, 5).select("id", "label")
+
+
+@query
+def density_hierarchy_blocked(t: Tables) -> DataFrame:
+    return hierarchy_cluster(t.vectors().drop("label"), 3, 5, block_rows=128).select("id", "label")
+
+
 @query
 def threshold_groups(t: Tables) -> DataFrame:
     return cluster.threshold_cluster(t.vectors().drop("label"), 1.05).select("id", "label")
@@ -647,6 +666,11 @@ def components(t: Tables) -> DataFrame:
 
 @query
 def bisecting_groups(t: Tables) -> DataFrame:
+    return cluster.bisecting_cluster(t.vectors().drop("label"), 10).select("id", "label")
+
+
+@query
+def ward_groups(t: Tables) -> DataFrame:
     return cluster.hierarchical_cluster(t.vectors().drop("label"), k=10).select("id", "label")
 
 

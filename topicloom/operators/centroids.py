@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -9,8 +11,13 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.vectors import dot
 from topicloom.operators.nearest import assign_nearest, match_items
-from topicloom.runtime import materialize
+from topicloom.runtime import BROADCAST_BYTES, materialize
 
+#: Rows on a side of one block of distances, and how many are taken at once.
+BLOCK_ROWS, STRIPE = 2048, 256
+#: Clusters looked at per row at first.
+NEAREST_CLUSTERS = 64
+SLACK = 1e-9
 
 def mean_vector(vector_col: str):
     """Aggregate: mean of an array column, partially aggregated per task."""
@@ -63,6 +70,84 @@ def silhouette_rows(
     )
 
 
+def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Sum of the distances of each row of ``left`` to all rows of ``right``."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"_row": [], "item": [], "total": []})
+    x, y = (np.stack(p["_vec"].to_list()) for p in (left, right))
+    squared, totals = (y * y).sum(axis=1), []
+    for at in range(0, len(x), STRIPE):
+        own = x[at : at + STRIPE]
+        apart = (own * own).sum(axis=1)[:, None] + squared - 2 * (own @ y.T)
+        totals.append(np.sqrt(np.maximum(apart, 0)).sum(axis=1))
+    return pd.DataFrame({"_row": left["_row"], "item": left["item"], "total": np.concatenate(totals)})
+
+
+def _worth_summing(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """_row, item: each row's own cluster, and the others that may be its nearest one.
+
+    The mean distance to a cluster is at least the distance to its centre and
+    at most the root of the mean squared distance.  A cluster whose centre is
+    farther than the least such root cannot be the nearest.
+    """
+    clusters, n = stats.count(), NEAREST_CLUSTERS
+    scatter = stats.select("item", (F.col("bias") - dot(F.col("vector"), F.col("vector"))).alias("scatter"))
+    while True:
+        near = match_items(rows, "_vec", stats.select("item", "vector"), min(n, clusters), "euclidean", "_m")
+        listed = near.select("_row", F.col("item").alias("own"), F.posexplode("_m").alias("at", "m"))
+        listed = listed.select("_row", "own", "at", "m.item", F.col("m.score").alias("apart")).join(scatter, "item")
+        most = F.when(F.col("item") != F.col("own"), F.sqrt(F.greatest(F.pow("apart", F.lit(2.0)) + F.col("scatter"), F.lit(0.0))))
+        listed = materialize(listed.withColumn("most", most), "clusters-near")
+        bound = listed.groupBy("_row").agg(F.min("most").alias("bound"), F.max("apart").alias("reach"))
+        if n >= clusters or not bound.where("bound IS NULL OR reach <= bound").limit(1).count():
+            break
+        n *= 4
+    chosen = listed.join(bound, "_row").where((F.col("item") != F.col("own")) & (F.col("apart") <= F.col("bound") + SLACK))
+    return chosen.select("_row", "item").unionByName(rows.select("_row", "item"))
+
+
+def euclidean_silhouette_rows(
+    df: DataFrame, label_col: str = "label", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add ``silhouette`` per row from mean distances.
+
+    Distances are summed between a row and whole clusters only where bounds by
+    the centres leave the cluster in question, in blocks of at most
+    ``block_rows`` rows a side that leave a task as one sum per row.  A row
+    alone in its cluster gets 0; with a single cluster, or without a vector or
+    a label, it is null.
+    """
+    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    vec = F.col(vector_col).cast("array<double>").alias("_vec")
+    rows = numbered.select("_row", F.col(label_col).cast("long").alias("item"), vec).where("item IS NOT NULL AND _vec IS NOT NULL")
+    squared = dot(F.col("_vec"), F.col("_vec"))
+    stats = rows.groupBy("item").agg(mean_vector("_vec").alias("vector"), F.avg(squared).alias("bias"), F.count(F.lit(1)).alias("size"))
+    stats = materialize(stats, "clusters")
+    asked = materialize(_worth_summing(rows, stats), "asked")
+    sizes = asked.groupBy("item").agg(F.count(F.lit(1)).alias("asking")).join(stats.select("item", "size"), "item")
+    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    sizes = materialize(sizes.select("item", blocks("asking").alias("a"), blocks("size").alias("b")), "blocks")
+    if sizes.count() * 32 <= BROADCAST_BYTES:
+        sizes = F.broadcast(sizes)
+    spot = lambda n: F.pmod(F.xxhash64("_row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, "item").select("_row", "item", spot("a").alias("i"), every("b").alias("j"))
+    left = left.join(rows.select("_row", "_vec"), "_row")
+    right = rows.join(sizes, "item").select("item", "_vec", spot("b").alias("j"), every("a").alias("i"))
+    key = ["item", "i", "j"]
+    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_distance_sums, "_row long, item long, total double")
+    whole = sums.groupBy("_row", "item").agg(F.sum("total").alias("total")).join(stats.select("item", "size"), "item")
+    own = rows.select("_row", F.col("item").alias("own"))
+    inside = F.col("item") == F.col("own")
+    means = whole.join(own, "_row").groupBy("_row").agg(
+        F.max(F.when(inside, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
+        F.min(F.when(~inside, F.col("total") / F.col("size"))).alias("b"),
+    )
+    value = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    told = means.select("_row", F.when(F.col("b").isNotNull(), value).alias("silhouette"))
+    return numbered.join(told, "_row", "left").select(*[F.col(f"`{c}`") for c in df.columns], "silhouette")
+
+
 def assign_outliers(
     df: DataFrame,
     label_col: str = "label",
@@ -73,9 +158,11 @@ def assign_outliers(
 
     The centroid of the outliers takes part, so some rows stay -1.  Nothing
     changes when all outliers would get the same label.  ``gate="silhouette"``
-    keeps only assignments whose silhouette among the outliers is positive.
+    keeps only assignments whose silhouette among the outliers is positive;
+    ``"squared"`` takes the silhouette of squared distances, which needs no
+    pairs of rows.
     """
-    if gate not in ("none", "silhouette"):
+    if gate not in GATES:
         raise ValueError(f"unknown gate: {gate}")
     centers = centroids(df, label_col, vector_col).select(
         F.col(label_col).cast("long").alias("category_id"), F.col("centroid")
@@ -90,8 +177,8 @@ def assign_outliers(
     if out.select("category_id").where("category_id is not null").distinct().limit(2).count() < 2:
         return kept.unionByName(out.drop("category_id"))
     new_label = F.col("category_id")
-    if gate == "silhouette":
-        out = silhouette_rows(out, "category_id", vector_col)
+    if gate != "none":
+        out = GATES[gate](out, "category_id", vector_col)
         new_label = F.when(F.col("silhouette") > 0, new_label).otherwise(F.col(label_col))
     # a row without a usable vector has no nearest centroid and stays an outlier
     new_label = F.coalesce(new_label, F.col(label_col))
@@ -99,6 +186,9 @@ def assign_outliers(
     return kept.unionByName(moved.select(*df.columns))
 
 
+GATES = {"none": None, "silhouette": euclidean_silhouette_rows, "squared": silhouette_rows}
+
+
 def label_stats(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Number of distinct labels and of outlier rows."""
     return df.agg(

@@ -24,6 +24,8 @@ DEFAULT_EPSILON = 0.5
 #: Groups that Ward merging takes to the driver; more are merged round by round in Spark.
 WARD_LOCAL = 4096
 WARD_STRIPE = 512
+#: Above any Ward cost, yet finite: no group is its own nearest one.
+ANY_COST = float(np.finfo(np.float64).max)
 WARD_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,16 +142,15 @@ def _attach(df: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Da
     ).drop("_label")
 
 
-def ward_merges(sizes: np.ndarray, centers: np.ndarray, threshold: float) -> np.ndarray:
-    """Group number of each centre after all Ward merges that cost at most ``threshold``.
+def ward_chain(sizes: np.ndarray, centers: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(kept, lost, cost) of all Ward merges that cost at most ``threshold``, inner ones before outer ones.
 
     A chain of nearest neighbours ends in a pair that are each other's nearest;
     Ward merging may take such pairs in any order.  A group whose nearest one
     costs more than the threshold takes no further part.
     """
-    n = len(sizes)
-    group, sizes, centers = np.arange(n), sizes.astype(float).copy(), centers.astype(float).copy()
-    alive, chain = np.ones(n, dtype=bool), []
+    sizes, centers, merges = sizes.astype(float).copy(), centers.astype(float).copy(), []
+    alive, chain = np.ones(len(sizes), dtype=bool), []
     while alive.any():
         a = chain[-1] if chain else int(alive.argmax())
         gaps = centers - centers[a]
@@ -163,10 +164,18 @@ def ward_merges(sizes: np.ndarray, centers: np.ndarray, threshold: float) -> np.
         elif len(chain) > 1 and b == chain[-2]:
             centers[a] = (sizes[a] * centers[a] + sizes[b] * centers[b]) / (sizes[a] + sizes[b])
             sizes[a] += sizes[b]
-            group[group == b] = a
+            merges.append((a, b, float(cost[b])))
             alive[b], chain = False, chain[:-2]
         else:
             chain = [*(chain or [a]), b]
+    return merges
+
+
+def ward_merges(sizes: np.ndarray, centers: np.ndarray, threshold: float) -> np.ndarray:
+    """Group number of each centre after all Ward merges that cost at most ``threshold``."""
+    group = np.arange(len(sizes))
+    for a, b, _ in ward_chain(sizes, centers, threshold):
+        group[group == b] = a
     return np.unique(group, return_inverse=True)[1]
 
 
@@ -205,6 +214,21 @@ def _nearest_groups(groups: DataFrame, threshold: float) -> DataFrame:
     return best.select("id", "b.other", "b.cost")
 
 
+def _ward_round(groups: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups after merging all pairs that are each other's nearest, those pairs with their cost, and id -> into."""
+    near = materialize(_nearest_groups(groups, threshold), "nearest")
+    back = near.select(F.col("other").alias("id"), F.col("id").alias("_back"))
+    pairs = near.join(back, "id").where("_back = other AND id < other").select("id", "other", "cost")
+    pairs = materialize(pairs, "merges")
+    if not pairs.limit(1).count():  # rounding hides the pair of least cost, or there is none
+        pairs = near.orderBy("cost", "id").limit(1).select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "cost")
+    lost = pairs.select(F.col("other").alias("id"), F.col("id").alias("_into"))
+    step = materialize(near.select("id").join(lost, "id", "left").select("id", F.coalesce("_into", "id").alias("into")), "step")
+    center = vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("n").cast("double")))
+    merged = groups.join(step, "id").groupBy("into").agg(F.sum("n").alias("n"), center.alias("vec"))
+    return materialize(merged.select(F.col("into").alias("id"), "n", "vec"), "groups"), pairs, step
+
+
 def ward_groups(nodes: DataFrame, threshold: float) -> DataFrame:
     """id, component: the smallest id of each node's group; ``nodes`` has id, n and vec.
 
@@ -214,18 +238,8 @@ def ward_groups(nodes: DataFrame, threshold: float) -> DataFrame:
     """
     groups, steps = materialize(nodes.select("id", "n", "vec"), "groups"), []
     while groups.count() > WARD_LOCAL:
-        near = materialize(_nearest_groups(groups, threshold), "nearest")
-        back = near.select(F.col("id").alias("other"), F.col("other").alias("_back"))
-        pairs = near.join(back, "other").where("_back = id AND id < other").select("id", "other")
-        pairs = materialize(pairs, "merges")
-        if not pairs.limit(1).count():  # rounding hides the pair of least cost, or there is none
-            pairs = near.orderBy("cost", "id").limit(1).select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
-        lost = pairs.select(F.col("other").alias("id"), F.col("id").alias("_into"))
-        step = near.select("id").join(lost, "id", "left").select("id", F.coalesce("_into", "id").alias("into"))
-        steps.append(materialize(step, "step"))
-        center = vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("n").cast("double")))
-        merged = groups.join(steps[-1], "id").groupBy("into").agg(F.sum("n").alias("n"), center.alias("vec"))
-        groups = materialize(merged.select(F.col("into").alias("id"), "n", "vec"), "groups")
+        groups, _, step = _ward_round(groups, threshold)
+        steps.append(step)
     rest = groups.orderBy("id").collect()
     number = ward_merges(np.array([r["n"] for r in rest]), np.array([r["vec"] for r in rest]), threshold) if rest else []
     first: dict[int, int] = {}
@@ -238,26 +252,66 @@ def ward_groups(nodes: DataFrame, threshold: float) -> DataFrame:
     return own.select(F.col("into").alias("id"), F.coalesce("component", "into").alias("component"))
 
 
+def ward_tree(nodes: DataFrame) -> DataFrame:
+    """id, other, cost, place: every merge of the Ward tree of ``nodes`` (id, n, vec).
+
+    A merge joins the groups whose smallest ids are id and other, or once
+    belonged to them; ``place`` is higher the farther out a merge lies.  All
+    pairs that are each other's nearest merge in one round, so merges do not
+    come by cost, but an outer one never costs less than those inside it.
+    """
+    groups, merges = materialize(nodes.select("id", "n", "vec"), "groups"), []
+    while groups.count() > WARD_LOCAL:
+        groups, pairs, _ = _ward_round(groups, ANY_COST)
+        merges.append(pairs.withColumn("place", F.lit(len(merges)).cast("long")))
+    rest = groups.orderBy("id").collect()
+    chain = ward_chain(np.array([r["n"] for r in rest]), np.array([r["vec"] for r in rest]), ANY_COST) if rest else []
+    local = [(rest[a]["id"], rest[b]["id"], cost, len(merges) + at) for at, (a, b, cost) in enumerate(chain)]
+    out = nodes.sparkSession.createDataFrame(local, "id long, other long, cost double, place long")
+    for pairs in merges:
+        out = out.unionByName(pairs)
+    return out
+
+
+def cut_tree(nodes: DataFrame, tree: DataFrame, k: int) -> DataFrame:
+    """id, component: ``k`` groups, or as many as there are nodes, left by undoing the k - 1 costliest merges."""
+    stored = materialize(tree, "tree")
+    undone = stored.orderBy(F.desc("cost"), F.desc("place")).limit(k - 1).select("id", "other")
+    kept = stored.join(F.broadcast(undone) if k * 16 < BROADCAST_BYTES else undone, ["id", "other"], "left_anti")
+    found = connected_components(kept, "id", "other").withColumnRenamed("node", "id")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def ward_cluster(
-    df: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", label_col: str = "label",
-) -> DataFrame:
-    """Groups of least variance growth: merging goes on while its Ward cost is at most ``threshold``.
+    df: DataFrame, threshold: float | None = None, id_col: str = "id", vector_col: str = "embedding",
+    label_col: str = "label", k: int | None = None,
+) -> DataFrame:
+    """Groups of least variance growth: merging goes on while its Ward cost is at most ``threshold``, or down to ``k`` groups.
 
-    The cut is exact and gives any number of groups, numbered by their smallest
-    id.  Rows of equal vectors start as one group.
+    Both cuts are exact and give any number of groups, numbered by their
+    smallest id.  Rows of equal vectors start as one group.
     """
     base = df.drop(label_col) if label_col in df.columns else df
     stored = materialize(base.withColumn("_vec", F.col(vector_col).cast("array<double>")), "rows")
     distinct = stored.groupBy("_vec").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("_first"))
-    nodes = materialize(global_rank(distinct, [F.asc("_first"), F.asc("_vec")], "_node"), "nodes")
-    found = ward_groups(nodes.select(F.col("_node").cast("long").alias("id"), "n", F.col("_vec").alias("vec")), threshold)
+    named = materialize(global_rank(distinct, [F.asc("_first"), F.asc("_vec")], "_node"), "nodes")
+    nodes = named.select(F.col("_node").cast("long").alias("id"), "n", F.col("_vec").alias("vec"))
+    found = ward_groups(nodes, threshold) if k is None else cut_tree(nodes, ward_tree(nodes), k)
     labels = _dense_labels(materialize(found.select(F.col("id").alias("node"), "component"), "members"), 1)
-    names = nodes.join(labels, nodes["_node"] == labels["node"]).select("_vec", F.col("label").alias(label_col))
+    names = named.join(labels, named["_node"] == labels["node"]).select("_vec", F.col("label").alias(label_col))
     names = materialize(names, "ward-labels")
     size = names.agg(F.sum(F.size("_vec") * 8 + 64).alias("b")).first()["b"] or 0
     return stored.join(F.broadcast(names) if size < BROADCAST_BYTES else names, "_vec").drop("_vec")
 
 
+def bisecting_cluster(df: DataFrame, k: int, vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """``k`` groups by top-down bisecting: not exact, for tables too large to merge."""
+    base = df.drop(label_col) if label_col in df.columns else df
+    ready = base.withColumn("_in", array_to_vector(F.col(vector_col).cast("array<double>")))
+    model = BisectingKMeans(k=k, seed=RANDOM_SEED, featuresCol="_in", predictionCol=label_col).fit(ready)
+    return model.transform(ready).drop("_in")
+
+
 def hierarchical_cluster(
     df: DataFrame,
     k: int | None = None,
@@ -266,17 +320,10 @@ def hierarchical_cluster(
     vector_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
-    """``k`` groups by top-down bisecting, or the groups under a Ward cost threshold."""
+    """Ward groups: ``k`` of them, or those under a cost threshold."""
     if (k is None) == (distance_threshold is None):
         raise ValueError("give either k or distance_threshold")
-    if k is None:
-        return ward_cluster(df, distance_threshold, id_col, vector_col, label_col)
-    base = df.drop(label_col) if label_col in df.columns else df
-    ready = base.withColumn("_in", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model = BisectingKMeans(
-        k=k, seed=RANDOM_SEED, featuresCol="_in", predictionCol=label_col
-    ).fit(ready)
-    return model.transform(ready).drop("_in")
+    return ward_cluster(df, distance_threshold, id_col, vector_col, label_col, k)
 
 
 def recluster_outliers(

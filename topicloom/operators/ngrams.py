@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.stopwords import ENGLISH
 from topicloom.functions.text import distinct_words, let, ngrams, tokenize, word_count
 from topicloom.operators.scoring import max_scale
-from topicloom.runtime import materialize, total
+from topicloom.runtime import BROADCAST_BYTES, materialize, total
 
 MIN_FEATURE_CHARS = 3
 
 
-#: Bounds on the bitmaps of frequent n-grams, in bits (two megabytes at most).
+#: Bounds on the map of frequent n-grams, in bits; the upper one is the broadcast limit.
 MIN_BITS = 1 << 16
-MAX_BITS = 1 << 24
+MAX_BITS = 8 * BROADCAST_BYTES
 BITS_PER_FEATURE = 16
+#: Tokens that a task counts at once, or one text if it has more.
+TOKENS_AT_ONCE = 1 << 20
 
 
 def _flagged(grams: Column) -> Column:
@@ -68,31 +74,107 @@ def count_ngrams(
     return _counted(df, ngrams(tokenize(F.col(text_col), stop_words), lo, hi), by, among)
 
 
-class _Bitmap:
-    """Hashed set of frequent n-grams, a constant array of at most MAX_BITS bits.
+class Seen:
+    """Hashed set of n-grams as a bitmap, sized by their number; it may hold others by chance."""
 
-    A subquery may not stand inside a lambda, so the words of the bitmap come
-    to the driver (their number is bounded) and go out as one literal.
-    """
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
-    def __init__(self, features: DataFrame):
-        wanted = features.count() * BITS_PER_FEATURE
-        self.bits = min(MAX_BITS, max(MIN_BITS, 1 << max(wanted - 1, 1).bit_length()))
-        slot = F.pmod(F.xxhash64("feature"), F.lit(self.bits))
-        words = (
-            features.select(F.shiftright(slot, 6).alias("i"), F.pmod(slot, F.lit(64)).cast("int").alias("b"))
-            .groupBy("i")
-            .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("w"))
-        )
-        filled = [0] * (self.bits // 64)
-        for row in words.collect():  # at most bits / 64 rows
-            filled[row["i"]] = row["w"]
-        self.words = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")
+    @staticmethod
+    def slots(features: Iterable[str], bits: int) -> np.ndarray:
+        hashed = pd.util.hash_array(np.asarray(features, dtype=object), categorize=False)
+        return (hashed & np.uint64(bits - 1)).astype(np.int64)
 
-    def holds(self, gram: Column) -> Column:
-        slot = F.pmod(F.xxhash64(gram), F.lit(self.bits))
-        word = F.get(self.words, F.shiftright(slot, 6).cast("int"))
-        return F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1
+    @classmethod
+    def of(cls, features: DataFrame) -> Seen:
+        """From a written table; the driver gets at most ``MAX_BITS`` bits."""
+        wanted = features.count() * BITS_PER_FEATURE
+        bits = min(MAX_BITS, max(MIN_BITS, 1 << max(wanted - 1, 1).bit_length()))
+        slots = cls.slots
+
+        @F.pandas_udf("long")
+        def slot(names: pd.Series) -> pd.Series:
+            return pd.Series(slots(names, bits))
+
+        at = features.select(slot("feature").alias("at"))
+        word = F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))"))
+        filled = at.groupBy(F.shiftright("at", 6).alias("i")).agg(word.alias("w")).toPandas()
+        words = np.zeros(bits // 64, dtype=np.int64)
+        words[filled["i"]] = filled["w"]
+        return cls(words)
+
+    def holds(self, features: pa.Array) -> np.ndarray:
+        at = self.slots(features.to_numpy(zero_copy_only=False), 64 * len(self.words))
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The tokens of some rows one after the other, and each one's row."""
+    for batch in batches:
+        lists = batch.column(0)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(lists):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, side="right")))
+            part = lists.slice(at, end - at)
+            sizes = np.diff(ends[at:end], prepend=before)
+            yield part.flatten(), np.repeat(np.arange(end - at), sizes)
+            at = end
+
+
+def _counts(ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each id occurs, and in how many rows."""
+    pairs = np.unique(rows.astype(np.int64) * n + ids)
+    return np.bincount(ids, minlength=n), np.bincount(pairs % n, minlength=n)
+
+
+def count_runs(tokens: DataFrame, sizes: range, words: Seen | None = None, pairs: Seen | None = None) -> DataFrame:
+    """feature, frequency, doc_frequency of the runs of ``sizes`` tokens; ``tokens`` has one array column.
+
+    Only runs of words in ``words`` whose pairs are all in ``pairs`` are
+    counted.  A task numbers its words and runs and sums whole blocks of rows
+    before they reach the shuffle.
+    """
+    context = tokens.sparkSession.sparkContext
+    known = context.broadcast([s and s.words for s in (words, pairs)])
+    lo, hi = sizes[0], sizes[-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs = (None if w is None else Seen(w) for w in known.value)
+        for flat, rows in _pieces(batches):
+            coded = flat.dictionary_encode()
+            names, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(codes):
+                continue
+            good = np.ones(len(codes), dtype=bool) if words is None else words.holds(names)[codes]
+            at = np.flatnonzero(good)  # where a run starts, its number and its text
+            ids, texts = codes[at], names
+            for n in range(1, hi + 1):
+                if n > 1:
+                    next_ = at + n - 1
+                    fits = next_ < len(codes)
+                    fits[fits] = good[next_[fits]] & (rows[next_[fits]] == rows[at[fits]])
+                    if n > 2:  # the last two words of the run are a known pair
+                        fits[fits] = paired[next_[fits] - 1]
+                    at, ids = at[fits], ids[fits]
+                    whole, ids = np.unique(ids * len(names) + codes[at + n - 1], return_inverse=True)
+                    texts = pc.binary_join_element_wise(texts.take(pa.array(whole // len(names))), names.take(pa.array(whole % len(names))), " ")
+                    if n == 2 and hi > 2:
+                        kept = np.ones(len(texts), dtype=bool) if pairs is None else pairs.holds(texts)
+                        paired = np.zeros(len(codes), dtype=bool)
+                        paired[at] = kept[ids]
+                        if lo > 2:
+                            at, ids = at[kept[ids]], ids[kept[ids]]
+                if n >= lo and len(ids):
+                    times, docs = _counts(ids, rows[at], len(texts))
+                    some = np.flatnonzero(times)
+                    yield pa.RecordBatch.from_arrays(
+                        [texts.take(pa.array(some)), pa.array(times[some]), pa.array(docs[some])], ["feature", "frequency", "doc_frequency"]
+                    )
+
+    found = tokens.mapInArrow(count, "feature string, frequency long, doc_frequency long")
+    return found.groupBy("feature").agg(F.sum("frequency").alias("frequency"), F.sum("doc_frequency").alias("doc_frequency"))
 
 
 def frequent_ngrams(
@@ -101,46 +183,25 @@ def frequent_ngrams(
 ) -> DataFrame:
     """``count_ngrams`` limited to those in at least ``min_docs`` documents, level by level.
 
-    Every part of a frequent n-gram is frequent.  Words are counted first, then
-    pairs of frequent words, then longer runs of frequent pairs, so rare
-    n-grams, most of all there are, never reach a shuffle.  The frequent ones
-    of a level are passed on as a fixed-size bitmap; a false hit in it only
-    costs a count that the exact filter drops.
+    Every part of a frequent n-gram is frequent.  Texts are tokenized once;
+    words are counted first, then pairs of frequent words, then longer runs of
+    frequent pairs, so rare n-grams, most of all there are, never reach a
+    shuffle.  The frequent ones of a level go out as a bitmap sized by their
+    number; a false hit in it only costs a count that the exact filter drops.
     """
     lo, hi = ngram_range
-    tokens = tokenize(F.col(text_col), stop_words)
+    tokens = materialize(df.select(tokenize(F.col(text_col), stop_words).alias("tokens")), "tokens")
     enough = F.col("doc_frequency") >= min_docs
 
-    def level(grams: Column, label: str) -> DataFrame:
-        return materialize(_counted(df, grams).where(enough), label)
+    def level(label: str, *limits) -> DataFrame:
+        return materialize(count_runs(tokens, *limits).where(enough), label)
 
-    found = [level(ngrams(tokens, 1, 1), "words")]
-    words = _Bitmap(found[0])
-    common = F.transform(tokens, lambda t: F.when(words.holds(t), t))
+    found = [level("words", range(1, 2))]
     if hi >= 2:
-        found.append(level(let(common, lambda t: F.array_compact(_runs(t, 2))), "pairs"))
+        words = Seen.of(found[0])
+        found.append(level("pairs", range(2, 3), words))
     if hi >= 3:
-        pairs = _Bitmap(found[1])
-
-        def longer(t: Column) -> Column:
-            kept = F.transform(_runs(t, 2), lambda p: F.when(pairs.holds(p), p))
-            return let(kept, lambda p: F.concat(*[joined(t, p, n) for n in range(3, hi + 1)]))
-
-        def joined(t: Column, p: Column, n: int) -> Column:
-            """Runs of n words: their first pair, then words, all pairs frequent."""
-
-            def run(i: Column) -> Column:
-                whole = F.concat_ws(" ", F.get(p, i), *[F.get(t, i + k) for k in range(2, n)])
-                good = F.get(p, i).isNotNull()
-                for k in range(1, n - 1):
-                    good = good & F.get(p, i + k).isNotNull()
-                return F.when(good, whole)
-
-            starts = F.sequence(F.lit(0), F.size(t) - n)
-            none = F.array().cast("array<string>")
-            return F.when(F.size(t) >= n, F.array_compact(F.transform(starts, run))).otherwise(none)
-
-        found.append(level(let(common, longer), "longer"))
+        found.append(level("longer", range(3, hi + 1), words, Seen.of(found[1])))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -149,20 +210,6 @@ def frequent_ngrams(
     return out
 
 
-def _runs(t: Column, n: int) -> Column:
-    """Runs of n tokens; null where one of them is null."""
-    none = F.array().cast("array<string>")
-    starts = F.sequence(F.lit(0), F.size(t) - n)
-
-    def run(i: Column) -> Column:
-        pieces = [F.get(t, i)]
-        for k in range(1, n):
-            pieces += [F.lit(" "), F.get(t, i + k)]
-        return F.concat(*pieces)
-
-    return F.when(F.size(t) >= n, F.transform(starts, run)).otherwise(none)
-
-
 def ngram_frequency(
     df: DataFrame,
     text_col: str = "query",

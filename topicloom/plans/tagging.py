@@ -101,28 +101,27 @@ def add_categories(
     ``categories`` is an outline text, or has category_id, path, path_text and
     embedding.  Without vectors on either side, both are encoded by ``encoder``
     (see ``encode_texts``).  Rows without a usable vector, and outliers of the
-    rescored form, get the outlier path.
+    rescored form, get the outlier path.  All columns come back as they were;
+    only one named ``category_path`` is replaced.
     """
     if rescoring and not cross_encoded:
         raise TypeError(f"only used with cross_encoded: {', '.join(rescoring)}")
-    columns = df.columns
     if isinstance(categories, str):
         categories = materialize(read_outline(categories, df.sparkSession), "outline")
-    if vector_col not in columns or "embedding" not in categories.columns:
-        bare = df.drop(vector_col)
-        df, categories = encode_with_categories(bare, categories.drop("embedding"), match_col, vector_col, encoder)
-        columns = bare.columns
+    kept = [F.col(f"`{c}`") for c in df.columns if c != "category_path"]
+    coded = vector_col in df.columns and "embedding" in categories.columns
+    if not coded:
+        kept = [F.col(f"`{c}`") for c in df.columns if c not in ("category_path", vector_col)]
+    rows = df.select(F.struct(*kept).alias("row"), F.col(match_col).alias("query"), *([F.col(vector_col).alias("embedding")] if coded else []))
+    if not coded:
+        rows, categories = encode_with_categories(rows, categories.drop("embedding"), "query", "embedding", encoder)
     if cross_encoded:
-        found = rescore_categories(
-            df, categories, match_col=match_col, vector_col=vector_col, **rescoring
-        ).select(match_col, "category_id")
-        tagged = df.join(found, match_col, "left")
+        found = rescore_categories(rows, categories, match_col="query", vector_col="embedding", **rescoring)
+        tagged = rows.join(found.select("query", "category_id"), "query", "left")
     else:
-        tagged = assign_nearest(df, categories, vector_col, "embedding").drop("similarity")
-    paths = categories.select("category_id", F.col("path").alias("category_path"))
-    return tagged.join(paths, "category_id", "left").select(
-        *columns, F.coalesce("category_path", F.lit(OUTLIER_PATH)).alias("category_path")
-    )
+        tagged = assign_nearest(rows, categories, "embedding", "embedding")
+    paths = categories.select("category_id", "path")
+    return tagged.join(paths, "category_id", "left").select("row.*", F.coalesce("path", F.lit(OUTLIER_PATH)).alias("category_path"))
 
 
 def add_categories_clustered(
@@ -138,13 +137,13 @@ def add_categories_clustered(
 ) -> DataFrame:
     """Add ``category_path``: the category nearest to each row's cluster.
 
-    Further options go to ``cluster_topics``.
+    Further options go to ``cluster_topics``.  All columns come back as they
+    were; only one named ``category_path`` is replaced.
     """
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "category_path"]).alias("row")
+    coded = [F.col(vector_col).alias("embedding")] if vector_col in df.columns else []
     out = cluster_topics(
-        df,
-        id_col=id_col,
-        text_col=match_col,
-        vector_col=vector_col,
+        df.select(kept, F.col(id_col).alias("id"), F.col(match_col).alias("query"), *coded),
         min_cluster_size=min_cluster_size,
         min_samples=min_samples,
         reduction_dims=reduction_dims,
@@ -156,5 +155,5 @@ def add_categories_clustered(
         F.min("path").alias("category_path")
     )
     return out.join(paths, "text_label", "left").select(
-        *df.columns, F.coalesce("category_path", F.lit(OUTLIER_PATH)).alias("category_path")
+        "row.*", F.coalesce("category_path", F.lit(OUTLIER_PATH)).alias("category_path")
     )
