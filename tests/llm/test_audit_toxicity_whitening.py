@@ -73,10 +73,14 @@ def test_audit_equals_brute_force(spark):
     assert audited(spark, rows, min_docs=1) == audit_by_force(rows, 1)
 
 
-def test_audit_does_not_depend_on_how_much_a_task_holds(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [True, False])
+def test_audit_does_not_depend_on_how_much_a_task_takes_at_once(spark, monkeypatch, wide):
     rng = random.Random(5)
     rows = [(" ".join(f"w{chr(97 + rng.randrange(26))}{rng.choice([',', '.', ''])}" for _ in range(12)), "en", f"s{rng.randrange(3)}") for _ in range(60)]
-    monkeypatch.setattr(divergence, "HELD", 10)
+    rows += [(rows[0][0] * 20, "en", "s1")]
+    monkeypatch.setattr(divergence, "CHUNKS_AT_ONCE", 7)
+    monkeypatch.setattr(divergence, "BYTES_AT_ONCE", 50)
+    monkeypatch.setattr(divergence, "_too_wide", lambda groups: wide)
     assert audited(spark, rows) == audit_by_force(rows)
 
 
@@ -96,20 +100,31 @@ def test_audit_equals_its_sql(spark):
     assert difference(got, run_sql(registry.ORACLES[name], SF_DIR)) is None
 
 
-def test_a_chunk_is_tokenized_once(spark, monkeypatch):
+def test_a_chunk_is_tokenized_once(spark):
     docs = spark.createDataFrame([("a-a b, b.", "en", s) for s in "stu" for _ in range(20)], "text string, lang string, source string").repartition(4)
-    counted = divergence.chunk_counts(docs)
-    assert all(r["docs"] is None or len(r["docs"]) <= 16 for r in counted.collect())
-    got = divergence.tokenize_chunks(counted).groupBy("source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    assert {(r["source"], bytes(r["term"]), r["n"], r["rows"]) for r in got} == {(s, t, 40, n) for s in "stu" for t, n in ((b"a", 1), (b"b", 2))}
+    counted = divergence.chunk_counts(docs, buckets=3)
+    assert all(set(r["known"]) == {0} and not r["rows"] for r in counted.collect())
+    found = Counter()
+    for r in divergence.tokenize_chunks(counted, buckets=3).collect():
+        for item, group, n in zip(bytes(r["items"]).split(b" "), r["groups"], r["counts"]):
+            found[r["sources"][group], item, n] += 1
+    assert found == {(s, t, 40 if t == b"a" else 20): 1 if t == b"a" else 2 for s in "stu" for t in (b"a", b"b")}
     plan = divergence.term_counts(counted)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
 
 
-def test_union_of_documents():
-    a, b, c = (i.to_bytes(8, "big") for i in range(3))
-    assert divergence.both(a, a, 3) == a and divergence.both(a, b, 3) == a + b
-    assert divergence.both(a + b, c, 3) is None and divergence.both(None, a, 3) is None and divergence.both(a, None, 3) is None
+@pytest.mark.parametrize("min_docs", [1, 2, 3, 6])
+def test_documents_by_force(min_docs):
+    rng = np.random.default_rng(min_docs)
+    sets = [set(rng.integers(0, 9, rng.integers(1, 4)).tolist()) for _ in range(40)]
+    key = rng.integers(0, 12, 40)
+    some = [() if len(s) >= min_docs else sorted(s) for s in sets]
+    known, rows = np.array([len(s) for s in some]), np.array([r for s in some for r in s], dtype=np.int64)
+    enough, owner, kept = divergence._documents(key, 12, known, rows, min_docs)
+    for k in range(12):
+        union = set().union(*[s for s, at in zip(sets, key) if at == k])
+        assert enough[k] == (len(union) >= min_docs)
+        assert set(kept[owner == k].tolist()) == (set() if enough[k] else union)
 
 
 # --- toxicity ----------------------------------------------------------------------
