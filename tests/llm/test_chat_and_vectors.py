@@ -77,6 +77,25 @@ def test_repeated_history_is_masked(spark):
     assert sum(len(w["loss"]) for w in windows) == 6
 
 
+def test_long_system_turns_stay_in_the_budget(spark):
+    rows = [(0, 0, "system", "rule " * 1500), (1, 0, "system", "rule " * 800), (2, 0, "system", "rule " * 500), (3, 0, "user", "word " * 3000)]
+    rows += [(c, t, "assistant" if t % 2 else "user", f"turn {t} of some words") for c in range(4) for t in range(1, 200)]
+    windows = chat_format.chat_windows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    found = windows.select("conv_id", "window", "n_tokens", "n_repeated", F.size(chat_format.read_turns(F.col("formatted"))).alias("turns"), F.length("formatted").alias("chars")).collect()
+    assert all(r["n_tokens"] <= chat_format.BUDGET or r["turns"] - r["n_repeated"] == 1 and r["n_tokens"] > 1500 for r in found)
+    chars = defaultdict(int)
+    for r in found:
+        chars[r["conv_id"]] += r["chars"]
+    given = defaultdict(int)
+    for c, _, _, text in rows:
+        given[c] += len(text)
+    assert all(chars[c] < 8 * given[c] for c in given)
+    kept = {r["conv_id"]: r["turns_sha256"] for r in chat_format.conversation_digest(windows).collect()}
+    for c in given:
+        said = "".join(f"{role}\n{text}\n" for i, _, role, text in sorted(rows) if i == c)
+        assert kept[c] == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_given_conversations(spark):
     turns = spark.read.parquet(f"{SF_DIR}/conversations.parquet").orderBy("conv_id", "turn").collect()
     by = defaultdict(list)

@@ -5,7 +5,9 @@ turns that start in the same stretch of ``capacity`` tokens form one window,
 except that a turn reaching over its end is a window of its own.  A window so
 holds at most the budget; only a single turn can be longer, and is kept whole.
 Every window repeats the leading system turn and the turns that start in the
-``history`` tokens before it.  Targets are the assistant texts that are new in
+``history`` tokens before it.  A system turn that would leave less than
+``1/NEW_SHARE`` of the budget to new turns is a turn as any other: it stands in
+its place, whole, and no later window repeats it.  Targets are the assistant texts that are new in
 a window; repeated ones are masked, so each is learned once.
 
 A turn is written ``<|turn|>role<|text|>text<|end|>``.  In roles and texts a
@@ -37,6 +39,8 @@ BUDGET = 1024
 HISTORY = 192
 TURN_TOKENS = 4
 BLOCK_TURNS = 512
+#: One part in so many of each window is left to new turns, at least.
+NEW_SHARE = 4
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 # Control strings of chat templates that never stand in a text unescaped.
@@ -58,8 +62,8 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))
 
 
-def numbered_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, tokens: Column | None) -> DataFrame:
-    """key, conv, idx, role, text, tokens, before (tokens of all earlier turns) and lead (tokens of a leading system turn)."""
+def numbered_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, tokens: Column | None, most: int) -> DataFrame:
+    """key, conv, idx, role, text, tokens, before (tokens of all earlier turns) and lead (tokens of a leading system turn of at most ``most``)."""
     text = F.coalesce(text_col, F.lit(""))
     plain = turns.select(
         null_key(conv_col).alias("key"),
@@ -78,7 +82,7 @@ def numbered_turns(turns: DataFrame, conv_col: str, turn_col: str, role_col: str
         "block",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"),
         F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("sum"),
-        F.when(lead["role"] == "system", lead["tokens"]).otherwise(F.lit(0)).alias("lead"),
+        F.when((lead["role"] == "system") & (lead["tokens"] <= most), lead["tokens"]).otherwise(F.lit(0)).alias("lead"),
     )
     own = Window.partitionBy("key", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     here = plain.withColumn("at", F.row_number().over(own) - 1).withColumn(
@@ -101,22 +105,22 @@ def chat_windows(
     """
     if history < 1 or budget <= history:
         raise ValueError("the budget must be larger than the history, which is at least 1")
-    numbered = numbered_turns(turns, conv_col, turn_col, role_col, text_col, tokens)
-    leads = (F.col("idx") == 0) & (F.col("role") == "system")
+    numbered = numbered_turns(turns, conv_col, turn_col, role_col, text_col, tokens, budget - history - budget // NEW_SHARE)
+    leads = (F.col("idx") == 0) & (F.col("lead") > 0)
     start = F.when(leads, F.lit(0)).otherwise(F.col("before") - F.col("lead"))
     size = F.when(leads, F.lit(0)).otherwise(F.col("tokens"))
     led = numbered.withColumn("capacity", F.greatest(budget - history - F.col("lead"), F.lit(1)))
     led = led.withColumn("start", start).withColumn("stretch", F.floor(start / F.col("capacity")))
     over = F.col("start") + size > (F.col("stretch") + 1) * F.col("capacity")
-    own = led.select("key", "conv", "idx", "role", "text", "tokens", "start", (2 * F.col("stretch") + over.cast("long")).alias("window"))
+    own = led.select("key", "conv", "idx", "role", "text", "tokens", "start", (2 * F.col("stretch") + over.cast("long")).alias("window"), leads.alias("leads"))
     own = materialize(own, "turns")
-    system = own.where(leads).select("key", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
+    system = own.where("leads").select("key", F.col("role").alias("s_role"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens"))
 
     spans = own.groupBy("key", "conv", "window").agg(F.min("start").alias("from"), F.min("idx").alias("first"))
     later = spans.where("first > 0")
     near = F.floor(F.col("from") / history)
     asked = later.select("key", "conv", "window", "from", "first", F.explode(F.array(near - 1, near)).alias("stretch"))
-    told = own.where(~leads).select("key", "idx", "role", "text", "tokens", "start", F.floor(F.col("start") / history).alias("stretch"))
+    told = own.where("NOT leads").select("key", "idx", "role", "text", "tokens", "start", F.floor(F.col("start") / history).alias("stretch"))
     repeated = asked.join(told, ["key", "stretch"]).where((F.col("start") >= F.col("from") - history) & (F.col("idx") < F.col("first")))
     retained = later.join(system, "key")
 
