@@ -68,11 +68,11 @@ TOP_TERMS = 200
 PARTS = 1_000_000_000
 
 #: Bytes of text cut at once, or one text if it is longer, and chunks counted at once.
-BYTES_AT_ONCE = 1 << 24
-CHUNKS_AT_ONCE = 1 << 21
-BUCKETS_PER_PART = 2
+BYTES_AT_ONCE = 1 << 22
+CHUNKS_AT_ONCE = 1 << 20
+BUCKETS_PER_PART = 4
 #: Packed rows in one batch.
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 64
 #: Assumed size of one (language, source) row in a broadcast.
 GROUP_BYTES = 160
 
@@ -194,7 +194,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             row = np.repeat(np.arange(end - at), pc.list_value_length(lists).to_numpy())
             chunks = lists.flatten()
             some = pc.greater(pc.binary_length(chunks), 0)
-            yield part, chunks.filter(some), row[some.to_numpy(zero_copy_only=False)]
+            chunks, row = chunks.filter(some), row[some.to_numpy(zero_copy_only=False)]
+            del lists, some
+            yield part, chunks, row
             at = end
 
 
@@ -250,10 +252,16 @@ def _tokenize(min_docs: int, buckets: int) -> Callable:
             known = np.bincount(owner, minlength=len(keys))
             first = np.cumsum(known) - known
             starts = np.searchsorted(keys // wide, np.arange(len(chunks) + 1))  # a chunk's groups are side by side
-            found = [(c, t, n) for c, chunk in enumerate(chunks) for t, n in Counter(TERM.findall(chunk.lower())).items()]
-            if not found:
+            chunk, term, times = [], [], []
+            for c, text in enumerate(chunks):
+                found = TERM.findall(text.lower())
+                if len(found) == 1:  # most chunks by far
+                    chunk.append(c), term.append(found[0]), times.append(1)
+                    continue
+                for t, n in Counter(found).items():
+                    chunk.append(c), term.append(t), times.append(n)
+            if not chunk:
                 continue
-            chunk, term, times = zip(*found)
             chunk, times = np.array(chunk), np.array(times)
             many = starts[chunk + 1] - starts[chunk]
             entry = np.repeat(starts[chunk] - np.cumsum(many) + many, many) + np.arange(many.sum())
