@@ -113,10 +113,10 @@ class Tables:
         brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
         label = F.when(brand > 20, -1).otherwise(brand)
         parts = self.read("part").select(
-            F.col("p_partkey").alias("id"), F.lower("p_name").alias("query"), label.alias("label")
+            F.col("p_partkey").alias("id"), F.lower("p_name").alias("query"), label.alias("label"),
+            F.pmod("p_partkey", many).alias("_v"),
         )
-        placed = parts.join(vectors, F.pmod("id", many) == F.col("_v")).drop("_v")
-        return materialize(placed, "named-vectors")
+        return materialize(parts.join(vectors, "_v").drop("_v"), "named-vectors")
 
     def word_scores(self) -> DataFrame:
         counts = ngrams.count_ngrams(self.documents(), "text", (1, 1))

@@ -74,7 +74,7 @@ def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Sum of the distances of each row of ``left`` to all rows of ``right``."""
     if left.empty or right.empty:
         return pd.DataFrame({"_row": [], "item": [], "total": []})
-    x, y = (np.stack(p["_vec"].to_list()) for p in (left, right))
+    x, y = np.stack(left["_vec"].to_list()), np.stack(right["_vec2"].to_list())
     squared, totals = (y * y).sum(axis=1), []
     for at in range(0, len(x), STRIPE):
         own = x[at : at + STRIPE]
@@ -133,9 +133,9 @@ def euclidean_silhouette_rows(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(sizes, "item").select("_row", "item", spot("a").alias("i"), every("b").alias("j"))
     left = left.join(rows.select("_row", "_vec"), "_row")
-    right = rows.join(sizes, "item").select("item", "_vec", spot("b").alias("j"), every("a").alias("i"))
-    key = ["item", "i", "j"]
-    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_distance_sums, "_row long, item long, total double")
+    right = rows.join(sizes, "item").select(F.col("item").alias("item2"), F.col("_vec").alias("_vec2"), spot("b").alias("j2"), every("a").alias("i2"))
+    met = left.groupBy("item", "i", "j").cogroup(right.groupBy("item2", "i2", "j2"))
+    sums = met.applyInPandas(_distance_sums, "_row long, item long, total double")
     whole = sums.groupBy("_row", "item").agg(F.sum("total").alias("total")).join(stats.select("item", "size"), "item")
     own = rows.select("_row", F.col("item").alias("own"))
     inside = F.col("item") == F.col("own")
