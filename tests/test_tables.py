@@ -258,3 +258,15 @@ def test_volumes_do_not_depend_on_the_plan(spark, kind):
 def test_large_volumes_do_not_stop_a_job(spark):
     df = spark.createDataFrame([("1e20",), ("Infinity",), ("7.9",), (None,), ("x",)], "v string")
     assert [r[0] for r in df.select(integer_volume(F.col("v"))).collect()] == [0, 0, 7, 0, 0]
+
+
+def test_cluster_terms_number_the_names(spark):
+    """Each part has the vector of its key and its name's number: all parts, and more vectors than there are names."""
+    from topicloom.catalog.spark_queries import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    vectors = {r["id"]: r["embedding"] for r in t.vectors().collect()}
+    parts = [(r["p_partkey"], r["p_name"].lower()) for r in t.read("part").collect()]
+    number = {name: i for i, name in enumerate(sorted({name for _, name in parts}))}
+    got = {r["id"]: (r["query"], r["embedding"]) for r in t.named_vectors().collect()}
+    assert got == {key: (name, vectors[(key + number[name]) % len(vectors)]) for key, name in parts}

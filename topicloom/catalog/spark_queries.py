@@ -107,16 +107,18 @@ class Tables:
         )
 
     def named_vectors(self) -> DataFrame:
-        """Every part row with its brand's number and the vector of its key."""
+        """Every part row with its brand's number and the vector of its key and its name's number."""
         vectors = self.vectors().select(F.col("id").alias("_v"), "embedding")
         many = vectors.select(F.count(F.lit(1)).alias("v")).scalar()
         brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
         label = F.when(brand > 20, -1).otherwise(brand)
         parts = self.read("part").select(
-            F.col("p_partkey").alias("id"), F.lower("p_name").alias("query"), label.alias("label"),
-            F.pmod("p_partkey", many).alias("_v"),
+            F.col("p_partkey").alias("id"), F.lower("p_name").alias("query"), label.alias("label")
         )
-        return materialize(parts.join(vectors, "_v").drop("_v"), "named-vectors")
+        names = rank.global_rank(parts.select("query").distinct(), [F.asc("query")], "number")
+        numbered = parts.join(names, "query").withColumn("_v", F.pmod(F.col("id") + F.col("number") - 1, many))
+        placed = numbered.join(vectors, "_v").select("id", "query", "label", "embedding")
+        return materialize(placed, "named-vectors")
 
     def word_scores(self) -> DataFrame:
         counts = ngrams.count_ngrams(self.documents(), "text", (1, 1))
