@@ -270,3 +270,17 @@ def test_cluster_terms_number_the_names(spark):
     number = {name: i for i, name in enumerate(sorted({name for _, name in parts}))}
     got = {r["id"]: (r["query"], r["embedding"]) for r in t.named_vectors().collect()}
     assert got == {key: (name, vectors[(key + number[name]) % len(vectors)]) for key, name in parts}
+
+
+def test_volumes_in_passes_shuffle_no_queries(spark):
+    """A table of n-grams above the limit goes out in blocks; the result is that of one block."""
+    from topicloom.operators.containment import ngram_volume
+
+    texts = [(f"w{i % 7} w{i % 11} w{i % 13} x{i}", i) for i in range(300)]
+    queries = spark.createDataFrame(texts, "query string, search_volume long")
+    names = [f"w{i} w{j}" for i in range(13) for j in range(13)] + [f"x{i}" for i in range(0, 400, 5)]
+    features = spark.createDataFrame([(n,) for n in names], "feature string")
+    whole, blocks = (ngram_volume(features, queries, broadcast_bytes=b) for b in (1 << 26, 5000))
+    assert sorted(blocks.collect()) == sorted(whole.collect())
+    assert "search_volume" in blocks.columns and "_doc" not in blocks._jdf.queryExecution().toString()
+    assert blocks._jdf.queryExecution().toString().count("block-volumes") > 1  # candidates were joined by shuffle before
