@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.vectors import dot
+from topicloom.operators.knn import CellTable, Near, Tile
 from topicloom.operators.nearest import assign_nearest, match_items
 from topicloom.runtime import BROADCAST_BYTES, materialize
 
@@ -17,6 +18,8 @@ from topicloom.runtime import BROADCAST_BYTES, materialize
 BLOCK_ROWS, STRIPE = 2048, 256
 #: Clusters looked at per row at first.
 NEAREST_CLUSTERS = 64
+#: Clusters, at most, whose distances are summed in tiles that travel for all of them at once.
+FEW_CLUSTERS = 64
 SLACK = 1e-9
 
 def mean_vector(vector_col: str):
@@ -83,6 +86,48 @@ def _distance_sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_row": left["_row"], "item": left["item"], "total": np.concatenate(totals)})
 
 
+def _tile_sums(left: Tile, right: Tile, parts) -> pd.DataFrame:
+    """Sum of the distances of each row of a tile to the other tile's rows of each cluster, both ways."""
+    near, same, out = Near(left, right), left.number == right.number, []
+    for rows, cols in parts:
+        cols = cols[np.argsort(right.cells[cols], kind="stable")]
+        theirs, first = np.unique(right.cells[cols], return_index=True)
+        by_row = np.argsort(left.cells[rows], kind="stable")
+        rows = rows[by_row]
+        mine = np.unique(left.cells[rows])
+        down, across = np.zeros((len(rows), len(theirs))), np.zeros((len(cols), len(mine)))
+        at = 0
+        for own, squared in near.stripes(rows, cols, np.float64):
+            apart = np.sqrt(np.maximum(squared, 0.0, out=squared), out=squared)
+            down[at : at + len(own)] = np.add.reduceat(apart, first, axis=1)
+            if not same:
+                here, start = np.unique(left.cells[own], return_index=True)
+                across[:, np.searchsorted(mine, here)] += np.add.reduceat(apart, start, axis=0).T
+            at += len(own)
+        ways = [(left.ids[rows], theirs, down)] if same else [(left.ids[rows], theirs, down), (right.ids[cols], mine, across)]
+        for ids, cells, sums in ways:
+            out.append(pd.DataFrame({"_row": np.repeat(ids, len(cells)), "cell": np.tile(cells, len(ids)), "total": sums.ravel()}))
+    return pd.concat(out) if out else pd.DataFrame({"_row": [], "cell": [], "total": []})
+
+
+def _sums_by_tiles(rows: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """_row, item, total for few clusters: tiles of whole clusters, or parts of one, meet once for both sides."""
+    named = stats.orderBy("item").select("item", "size", "vector").collect()  # at most FEW_CLUSTERS rows
+    spark = rows.sparkSession
+    cells = spark.createDataFrame([(r["item"], i) for i, r in enumerate(named)], "item long, cell int")
+    placed = rows.join(F.broadcast(cells), "item").select(F.col("_row").alias("id"), F.col("_vec").alias("vec"), "cell")
+    table = CellTable.of_cells(materialize(placed, "placed"), [(i, r["size"], r["vector"]) for i, r in enumerate(named)])
+    own = rows.select("_row", F.col("item").alias("own"))
+    met = asked.join(own, "_row").select("own", "item").distinct().collect()  # pairs of such clusters
+    spot = {r["item"]: i for i, r in enumerate(named)}
+    close = np.zeros((len(named), len(named)), dtype=bool)
+    for r in met:
+        close[spot[r["own"]], spot[r["item"]]] = True
+    sums = table.visit(table.pack(), close, _tile_sums, "_row long, cell int, total double")
+    whole = sums.groupBy("_row", "cell").agg(F.sum("total").alias("total"))
+    return whole.join(F.broadcast(cells), "cell").join(asked, ["_row", "item"]).select("_row", "item", "total")
+
+
 def _worth_summing(rows: DataFrame, stats: DataFrame) -> DataFrame:
     """_row, item: each row's own cluster, and the others that may be its nearest one.
 
@@ -106,16 +151,33 @@ def _worth_summing(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return chosen.select("_row", "item").unionByName(rows.select("_row", "item"))
 
 
+def _sums_by_blocks(rows: DataFrame, stats: DataFrame, asked: DataFrame, block_rows: int) -> DataFrame:
+    """_row, item, total for many clusters, in blocks of the rows that ask for one."""
+    sizes = asked.groupBy("item").agg(F.count(F.lit(1)).alias("asking")).join(stats.select("item", "size"), "item")
+    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    sizes = materialize(sizes.select("item", blocks("asking").alias("a"), blocks("size").alias("b")), "blocks")
+    if sizes.count() * 32 <= BROADCAST_BYTES:
+        sizes = F.broadcast(sizes)
+    spot = lambda n: F.pmod(F.xxhash64("_row"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, "item").select("_row", "item", spot("a").alias("i"), every("b").alias("j"))
+    left = left.join(rows.select("_row", "_vec"), "_row")
+    right = rows.join(sizes, "item").select(F.col("item").alias("item2"), F.col("_vec").alias("_vec2"), spot("b").alias("j2"), every("a").alias("i2"))
+    met = left.groupBy("item", "i", "j").cogroup(right.groupBy("item2", "i2", "j2"))
+    return met.applyInPandas(_distance_sums, "_row long, item long, total double")
+
+
 def euclidean_silhouette_rows(
     df: DataFrame, label_col: str = "label", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add ``silhouette`` per row from mean distances.
 
     Distances are summed between a row and whole clusters only where bounds by
-    the centres leave the cluster in question, in blocks of at most
-    ``block_rows`` rows a side that leave a task as one sum per row.  A row
-    alone in its cluster gets 0; with a single cluster, or without a vector or
-    a label, it is null.
+    the centres leave the cluster in question: for up to ``FEW_CLUSTERS``
+    clusters in tiles, a row sent about as often as there are tiles; for more in
+    blocks of at most ``block_rows`` rows a side.  Tasks give one sum per row
+    and cluster.  A row alone in its cluster gets 0; with a single cluster, or
+    without a vector or a label, it is null.
     """
     numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
     vec = F.col(vector_col).cast("array<double>").alias("_vec")
@@ -124,18 +186,10 @@ def euclidean_silhouette_rows(
     stats = rows.groupBy("item").agg(mean_vector("_vec").alias("vector"), F.avg(squared).alias("bias"), F.count(F.lit(1)).alias("size"))
     stats = materialize(stats, "clusters")
     asked = materialize(_worth_summing(rows, stats), "asked")
-    sizes = asked.groupBy("item").agg(F.count(F.lit(1)).alias("asking")).join(stats.select("item", "size"), "item")
-    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
-    sizes = materialize(sizes.select("item", blocks("asking").alias("a"), blocks("size").alias("b")), "blocks")
-    if sizes.count() * 32 <= BROADCAST_BYTES:
-        sizes = F.broadcast(sizes)
-    spot = lambda n: F.pmod(F.xxhash64("_row"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(sizes, "item").select("_row", "item", spot("a").alias("i"), every("b").alias("j"))
-    left = left.join(rows.select("_row", "_vec"), "_row")
-    right = rows.join(sizes, "item").select(F.col("item").alias("item2"), F.col("_vec").alias("_vec2"), spot("b").alias("j2"), every("a").alias("i2"))
-    met = left.groupBy("item", "i", "j").cogroup(right.groupBy("item2", "i2", "j2"))
-    sums = met.applyInPandas(_distance_sums, "_row long, item long, total double")
+    if 0 < stats.count() <= FEW_CLUSTERS:
+        sums = _sums_by_tiles(rows, stats, asked)
+    else:
+        sums = _sums_by_blocks(rows, stats, asked, block_rows)
     whole = sums.groupBy("_row", "item").agg(F.sum("total").alias("total")).join(stats.select("item", "size"), "item")
     own = rows.select("_row", F.col("item").alias("own"))
     inside = F.col("item") == F.col("own")
