@@ -125,7 +125,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
 
 def _counts(ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """How often each id occurs, and in how many rows."""
-    pairs = np.unique(rows.astype(np.int64) * n + ids)
+    pairs = pc.unique(pa.array(rows.astype(np.int64) * n + ids)).to_numpy()  # by hash, not by sorting
     return np.bincount(ids, minlength=n), np.bincount(pairs % n, minlength=n)
 
 
@@ -158,7 +158,8 @@ def count_runs(tokens: DataFrame, sizes: range, words: Seen | None = None, pairs
                     if n > 2:  # the last two words of the run are a known pair
                         fits[fits] = paired[next_[fits] - 1]
                     at, ids = at[fits], ids[fits]
-                    whole, ids = np.unique(ids * len(names) + codes[at + n - 1], return_inverse=True)
+                    runs = pa.array(ids * len(names) + codes[at + n - 1]).dictionary_encode()
+                    whole, ids = runs.dictionary.to_numpy(), runs.indices.to_numpy().astype(np.int64)
                     texts = pc.binary_join_element_wise(texts.take(pa.array(whole // len(names))), names.take(pa.array(whole % len(names))), " ")
                     if n == 2 and hi > 2:
                         kept = np.ones(len(texts), dtype=bool) if pairs is None else pairs.holds(texts)
