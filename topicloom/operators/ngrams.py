@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ MIN_FEATURE_CHARS = 3
 MIN_BITS = 1 << 16
 MAX_BITS = 8 * BROADCAST_BYTES
 BITS_PER_FEATURE = 16
+#: Bits of the map that one row brings to the driver.
+BLOCK_BITS = 1 << 16
 #: Tokens that a task counts at once, or one text if it has more.
 TOKENS_AT_ONCE = 1 << 20
 
@@ -96,11 +99,16 @@ class Seen:
         def slot(names: pd.Series) -> pd.Series:
             return pd.Series(slots(names, bits))
 
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+            marks = np.zeros(BLOCK_BITS, dtype=np.uint8)
+            marks[pdf["at"].to_numpy() % BLOCK_BITS] = 1
+            return pd.DataFrame({"i": [int(pdf["at"].iloc[0]) // BLOCK_BITS], "w": [np.packbits(marks, bitorder="little").tobytes()]})
+
         at = features.select(slot("feature").alias("at"))
-        word = F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))"))
-        filled = at.groupBy(F.shiftright("at", 6).alias("i")).agg(word.alias("w")).toPandas()
+        filled = at.groupBy(F.floor(F.col("at") / BLOCK_BITS)).applyInPandas(fill, "i long, w binary")
         words = np.zeros(bits // 64, dtype=np.int64)
-        words[filled["i"]] = filled["w"]
+        for row in filled.toLocalIterator():  # one packed block at a time, whatever the number of n-grams
+            words[row["i"] * BLOCK_BITS // 64 :][: BLOCK_BITS // 64] = np.frombuffer(row["w"], np.dtype("<i8"))
         return cls(words)
 
     def holds(self, features: pa.Array) -> np.ndarray:
@@ -129,15 +137,18 @@ def _counts(ids: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return np.bincount(ids, minlength=n), np.bincount(pairs % n, minlength=n)
 
 
-def count_runs(tokens: DataFrame, sizes: range, words: Seen | None = None, pairs: Seen | None = None) -> DataFrame:
+def shared_maps(tokens: DataFrame, words: Seen | None = None, pairs: Seen | None = None) -> Broadcast:
+    return tokens.sparkSession.sparkContext.broadcast([s and s.words for s in (words, pairs)])
+
+
+def count_runs(tokens: DataFrame, sizes: range, words: Seen | None = None, pairs: Seen | None = None, known: Broadcast | None = None) -> DataFrame:
     """feature, frequency, doc_frequency of the runs of ``sizes`` tokens; ``tokens`` has one array column.
 
     Only runs of words in ``words`` whose pairs are all in ``pairs`` are
     counted.  A task numbers its words and runs and sums whole blocks of rows
-    before they reach the shuffle.
+    before they reach the shuffle.  ``known`` may pass both maps broadcast.
     """
-    context = tokens.sparkSession.sparkContext
-    known = context.broadcast([s and s.words for s in (words, pairs)])
+    known = known or shared_maps(tokens, words, pairs)
     lo, hi = sizes[0], sizes[-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +205,11 @@ def frequent_ngrams(
     tokens = materialize(df.select(tokenize(F.col(text_col), stop_words).alias("tokens")), "tokens")
     enough = F.col("doc_frequency") >= min_docs
 
-    def level(label: str, *limits) -> DataFrame:
-        return materialize(count_runs(tokens, *limits).where(enough), label)
+    def level(label: str, sizes: range, *maps: Seen) -> DataFrame:
+        known = shared_maps(tokens, *maps)
+        counted = materialize(count_runs(tokens, sizes, known=known).where(enough), label)
+        known.destroy()  # the level is written
+        return counted
 
     found = [level("words", range(1, 2))]
     if hi >= 2:
